@@ -175,6 +175,20 @@ def fold_of(column: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(folds))
 
 
+def sample_ids(ids: DataFrame, id_col: str, most: int) -> DataFrame:
+    """At most ``most`` ids, those of the smallest hashes.
+
+    A hash threshold from the count thins the rows where they are read, so that
+    no task sends ``most`` rows on; the final order decides among the rest.
+    """
+    n = ids.count()
+    space = 1 << 40
+    share = min(space, int(space * 1.3 * (most + 100) / max(n, 1)))
+    h = F.xxhash64(F.col(id_col), F.lit(17))
+    thin = ids.select(id_col).where(F.pmod(h, F.lit(space)) < share)
+    return thin.orderBy(F.pmod(h, F.lit(space)), id_col).limit(most)
+
+
 def _local_roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Union-find over the edges of one partition: an edge from every node to its root."""
     parent: dict[int, int] = {}

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesforge.llm.common import fold_of, small_text_batches
+from seriesforge.llm.common import fold_of, sample_ids, small_text_batches
 
 #: Bounds of the labelled sample that the model is fitted on.
 MAX_TOXIC, MAX_ORDINARY = 2000, 4000
@@ -72,7 +72,7 @@ def marks(rows: list[tuple[str, int]]) -> list[bytes]:
         uses.update(ws)
         for before, w, after in zip([b"", *ws], ws, [*ws[1:], b""], strict=False):
             around[w].add((before, after))
-    least = 5 if n[1] >= 200 else 2
+    least = int(np.clip(n[1] / 40, 2, 5))
     odds = lambda w: np.log((seen[w] + 0.5) / (n[1] + 1)) - np.log((clean[w] + 0.5) / (n[0] + 1))
     varied = lambda w: len(around[w]) >= max(least, 0.6 * uses[w])
     found = [w for w in seen if len(w) >= 4 and seen[w] >= least and varied(w) and odds(w) > 2.5]
@@ -175,15 +175,14 @@ def fit(rows: list[tuple[int, str, int]], toxic_share: float) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5) -> Model:
     """Fit on the bounded labelled sample outside fold 0."""
-    known = labels.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("y")).where("y in (0, 1)")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")).join(known, "_id").where(fold_of("_id", folds) != 0)
-    n = {r["y"]: r["n"] for r in known.where(fold_of("_id", folds) != 0).groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = F.xxhash64("_id"), F.col("_id")
-    got = [
-        (r["_id"], r["t"] or "", r["y"])
-        for y, most in ((1, MAX_TOXIC), (0, MAX_ORDINARY))
-        for r in rows.where(F.col("y") == y).orderBy(*order).limit(most).collect()
-    ]
+    known = labels.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("y")).where("y in (0, 1)").where(fold_of("_id", folds) != 0)
+    n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t"))
+    got = []
+    for y, most in ((1, MAX_TOXIC), (0, MAX_ORDINARY)):
+        picked = sample_ids(known.where(F.col("y") == y), "_id", most)  # at most `most` ids to broadcast
+        got += [(r["_id"], r["t"] or "", y) for r in texts.join(F.broadcast(picked), "_id").collect()]
+    got.sort(key=lambda r: r[0])
     return fit(got, n.get(1, 0) / max(1, sum(n.values())))
 
 
