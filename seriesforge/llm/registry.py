@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from seriesforge.llm import op01_quality, op03_suffix, op08_packing, op09_toxicity, op10_minhash
+from seriesforge.llm import op01_quality, op02_tokens, op03_suffix, op08_packing, op09_toxicity, op10_minhash
 
 
 def queries() -> dict:
     return {
         "op1_quality": op01_quality.query,
+        "op2_tokens": op02_tokens.query,
         "op3_suffix": op03_suffix.query,
         "op8_packing": op08_packing.query,
         "op9_toxicity": op09_toxicity.query,
