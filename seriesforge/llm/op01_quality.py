@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from seriesforge.llm.common import Words, sample_ids, shingle_sets, small_text_batches, steps, text_buffer
 
 #: Documents of the sample that the scorer is trained on.
-SAMPLE = 6000
+SAMPLE = 5000
 BINS = 1 << 12
 GOOD, BAD, NONE = 1, 2, 0
 
@@ -181,13 +181,17 @@ def hashed(texts: pa.Array, m: np.ndarray) -> np.ndarray:
 
 
 def train_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 300, l2: float = 1e-4, rate: float = 0.05) -> np.ndarray:
-    """Logistic regression on soft labels by full-batch Adam; the last coefficient is the intercept."""
-    a = np.hstack([x, np.ones((len(x), 1))])
-    w, m, v = np.zeros(a.shape[1]), 0.0, 0.0
+    """Logistic regression on soft labels by full-batch Adam; the last coefficient is the intercept.
+
+    ``x`` is float32 and is never copied.
+    """
+    y = y.astype(np.float32)
+    w, m, v = np.zeros(x.shape[1] + 1, dtype=np.float32), 0.0, 0.0
     for t in range(1, rounds + 1):
-        g = a.T @ (1.0 / (1.0 + np.exp(-np.clip(a @ w, -30, 30))) - y) / max(len(y), 1) + l2 * w
+        e = (1.0 / (1.0 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))) - y) / max(len(y), 1)
+        g = np.append(e @ x, e.sum()) + l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w = (w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
     return w
 
 
@@ -224,16 +228,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     labels = expectation_maximisation(v, np.array([r["n"] for r in counts], dtype=float))
     picked = sample_ids(docs.select(id_col), id_col, sample)  # at most `sample` ids to broadcast
     rows = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).orderBy(id_col).select(text_col).collect()
-    xs, ys = [], []
-    for at in range(0, len(rows), 200):
-        texts = pa.array([r[0] for r in rows[at : at + 200]], pa.string())
-        m = measures(texts)
-        xs.append(hashed(texts, m).astype(np.float32)), ys.append(labels.posterior(votes(m)))
     width = BINS + len(LABELLERS) * (len(EDGES) + 1)
-    x = np.vstack(xs) if xs else np.zeros((0, width), np.float32)
+    x, y = np.zeros((len(rows), width), dtype=np.float32), np.zeros(len(rows))
+    for at in range(0, len(rows), 100):
+        texts = pa.array([r[0] for r in rows[at : at + 100]], pa.string())
+        m = measures(texts)
+        x[at : at + 100], y[at : at + 100] = hashed(texts, m), labels.posterior(votes(m))
+    del rows
     used = np.flatnonzero(x.any(axis=0))
+    x = x[:, used]
     w = np.zeros(width + 1)
-    got = train_scorer(x[:, used].astype(float), np.concatenate(ys) if ys else np.zeros(0))
+    got = train_scorer(x, y)
     w[used], w[-1] = got[:-1], got[-1]
     return QualityModel(labels, w)
 
