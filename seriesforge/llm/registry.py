@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seriesforge.llm import op01_quality, op02_tokens, op03_suffix, op04_pq, op05_pieces, op07_pitman_yor, op08_packing, op09_toxicity, op10_minhash
+from seriesforge.llm import op01_quality, op02_tokens, op03_suffix, op04_pq, op05_pieces, op06_images, op07_pitman_yor, op08_packing, op09_toxicity, op10_minhash
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_suffix": op03_suffix.query,
         "op4_pq": op04_pq.query,
         "op5_pieces": op05_pieces.query,
+        "op6_images": op06_images.query,
         "op7_pitman_yor": op07_pitman_yor.query,
         "op8_packing": op08_packing.query,
         "op9_toxicity": op09_toxicity.query,
