@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from seriesforge.llm import op01_quality, op02_tokens, op03_suffix, op04_pq, op05_pieces, op06_images, op07_pitman_yor, op08_packing, op09_toxicity, op10_minhash
+from seriesforge.llm import (
+    op01_quality,
+    op02_tokens,
+    op03_suffix,
+    op04_pq,
+    op05_pieces,
+    op06_images,
+    op07_pitman_yor,
+    op08_packing,
+    op09_toxicity,
+    op10_minhash,
+    sql,
+)
 
 
 def queries() -> dict:
@@ -21,4 +33,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
