@@ -143,9 +143,11 @@ def ranges(lo: np.ndarray, bucket: np.ndarray, run: np.ndarray, kind: np.ndarray
 
 
 def _split(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
-    cuts = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.empty(0, int)
+    cuts = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
     for a, z in zip(cuts, np.append(cuts[1:], len(b)), strict=True):
         yield int(b[a]), {k: v[order[a:z]] for k, v in columns.items()}
 
@@ -365,8 +367,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` with repeated bytes cut from the text; pieces of a cut character go with it. Same columns."""
     schema = docs.schema
     small_text_batches(docs.sparkSession)
-    ranges_of = repeated_ranges(_source(docs, id_col, text_col)).withColumnRenamed("doc_id", "_cut_id")
-    joined = docs.join(ranges_of.hint("shuffle_hash"), docs[id_col] == F.col("_cut_id"), "left").drop("_cut_id").withColumnRenamed("rs", "_cut_ranges")
+    ranges_of = repeated_ranges(_source(docs, id_col, text_col)).select(F.col("doc_id").alias("_cut_id"), F.col("rs").alias("_cut_ranges"))
+    joined = docs.join(ranges_of.hint("shuffle_hash"), docs[id_col] == F.col("_cut_id"), "left").drop("_cut_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
