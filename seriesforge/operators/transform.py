@@ -19,32 +19,48 @@ from pyspark.sql import types as T
 from seriesforge.functions.kernels import KERNEL_LENGTHS, Kernel, KernelBank
 
 #: Rows of a batch that are convolved at once; bounds memory for wide output.
-CHUNK_ROWS = 256
+CHUNK_ROWS = 512
 
 
-def response(x: np.ndarray, k: Kernel) -> np.ndarray:
-    """Responses of all rows of ``x`` (n, L) at all positions (n, output_length)."""
-    if k.padding:
-        x = np.pad(x, ((0, 0), (k.padding, k.padding)))
-    out = x.shape[1] - k.span
+def _respond(xt: np.ndarray, k: Kernel, acc: np.ndarray, tmp: np.ndarray) -> np.ndarray:
+    """Responses (output_length, n) of series stored as columns, written to ``acc``.
+
+    Samples are rows of ``xt``, so the samples of a tap are one contiguous block;
+    taps are added in ascending order and only where they are inside the series.
+    """
+    n = len(xt)
+    out = k.output_length(n)
     if out < 1:
         raise ValueError("the kernel does not fit the series")
-    acc = np.full((x.shape[0], out), k.bias)
+    acc = acc[:out]
+    acc.fill(k.bias)
     for j, w in enumerate(k.weights):
-        acc += w * x[:, j * k.dilation : j * k.dilation + out]
+        shift = j * k.dilation - k.padding
+        lo, hi = max(0, -shift), min(out, n - shift)
+        if lo < hi:
+            part = np.multiply(xt[lo + shift : hi + shift], w, out=tmp[: hi - lo])
+            np.add(acc[lo:hi], part, out=acc[lo:hi])
     return acc
 
 
+def response(x: np.ndarray, k: Kernel) -> np.ndarray:
+    """Responses of all rows of ``x`` (n, L) at all positions (n, output_length)."""
+    xt = np.ascontiguousarray(x.T)
+    return _respond(xt, k, np.empty(xt.shape), np.empty(xt.shape)).T
+
+
 def features(x: np.ndarray, bank: KernelBank) -> np.ndarray:
     """(n, 2K): proportion of positive responses and maximum of kernel j at 2j and 2j + 1."""
     if x.shape[1] != bank.input_length:
         raise ValueError(f"the bank was drawn for {bank.input_length} samples, the series have {x.shape[1]}")
-    out = np.empty((x.shape[0], 2 * len(bank)))
+    xt = np.ascontiguousarray(x.T)
+    acc, tmp = np.empty(xt.shape), np.empty(xt.shape)
+    out = np.empty((2 * len(bank), len(x)))
     for j, k in enumerate(bank.kernels):
-        r = response(x, k)
-        out[:, 2 * j] = np.count_nonzero(r > 0, axis=1) / r.shape[1]
-        out[:, 2 * j + 1] = r.max(axis=1)
-    return out
+        r = _respond(xt, k, acc, tmp)
+        np.divide(np.add.reduce((r > 0).view(np.uint8), axis=0, dtype=np.uint32), len(r), out=out[2 * j])
+        r.max(axis=0, out=out[2 * j + 1])
+    return np.ascontiguousarray(out.T)
 
 
 def matrix(column: pa.Array, length: int) -> np.ndarray:
