@@ -107,7 +107,7 @@ def _sets(size: int):
             for b in steps(whole):
                 h, offs = shingle_sets(Words(b.column("text")), size)
                 blobs = pa.array([h[a:z].tobytes() for a, z in zip(offs[:-1], offs[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("family"), blobs], names=["doc_id", "family", "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), blobs], names=["doc_id", "shingles"])
 
     return run
 
@@ -180,8 +180,11 @@ def near_duplicates(
     families = connected_components(edges)
     heads = families.select(F.col("component").alias("doc_id"), F.col("component").alias("family")).distinct()
     members = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")).unionByName(heads)
-    sets = materialise(src.join(members, "doc_id").mapInArrow(_sets(size), "doc_id long, family long, shingles binary"))
-    links = _family_links(sets, num, den, block)
+    sizes = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    members = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    members = materialise(members)
+    sets = materialise(src.join(members.select("doc_id"), "doc_id").mapInArrow(_sets(size), "doc_id long, shingles binary"))
+    links = _family_links(members, sets, num, den, block)
     comp = connected_components(links).withColumnRenamed("node", "rep").withColumnRenamed("component", "root")
     groups = reps.select("d1", "d2", "n_shingles", "rep").join(comp, "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("root", "rep").alias("found"))
     out = base.select("doc_id", "d1", "d2", "n_shingles").join(groups, ["d1", "d2", "n_shingles"], "left")
@@ -189,26 +192,32 @@ def near_duplicates(
     return out.withColumn("kept", F.col("component_id") == F.col("doc_id"))
 
 
-def _family_links(sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """All links within families that join different components, and enough of the others."""
-    sizes = sets.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    placed = sets.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("component", F.col("doc_id"))
-    compare = lambda df, *keys: df.groupBy(*keys).applyInPandas(_compare(num, den), "a long, b long")
+def _family_links(members: DataFrame, sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """All links within families that join different components, and enough of the others.
+
+    ``members``: doc_id, family, blocks, block; ``sets``: doc_id, shingles. Tasks
+    are planned on ids alone; sets join by document last and are dealt by the whole
+    task key, so a family of many blocks is many tasks.
+    """
+
+    def compare(plan: DataFrame, *keys: str) -> DataFrame:
+        rows = plan.select(*keys, "doc_id", "component", "side").join(sets, "doc_id")
+        return materialise(rows.groupBy(*keys).applyInPandas(_compare(num, den), "a long, b long"))
+
     side = lambda df, s: df.withColumn("side", F.lit(s))
-    links = materialise(compare(side(placed, 0), "family", "block"))
-    big = placed.where("blocks > 1")
-    if not sizes.where("blocks > 1").limit(1).count():
+    own = members.withColumn("component", F.col("doc_id"))
+    links = compare(side(own, 0), "family", "block")
+    big = members.where("blocks > 1")
+    if not big.limit(1).count():
         return links
     # representatives of block components, regrouped into fresh blocks, merge most of a large family
     for salt in range(2):
-        nodes = _relabel(big.drop("component"), links)
-        reps = nodes.where("doc_id = component")
+        reps = _relabel(big, links).where("doc_id = component").drop("block")
         n = reps.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("m"))
         mixed = reps.join(n, "family").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(salt + 1)), F.col("m")).cast("int"))
-        links = links.unionByName(materialise(compare(side(mixed, 0), "family", "block")))
+        links = links.unionByName(compare(side(mixed, 0), "family", "block"))
     # the rest: every component but a family's largest against all other blocks
-    nodes = materialise(_relabel(big.drop("component"), links))
+    nodes = materialise(_relabel(big, links))
     by = nodes.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
     top = by.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     open_ = nodes.join(top, "family")
@@ -217,9 +226,9 @@ def _family_links(sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
     rest = rest.join(chunks, "family").withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.col("chunks")).cast("int"))
     left = open_.join(chunks, "family").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     right = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cols = ["family", "block", "chunk", "doc_id", "component", "shingles"]
+    cols = ["family", "block", "chunk", "doc_id", "component"]
     pairs = side(left.select(cols), 0).unionByName(side(right.select(cols), 1))
-    return links.unionByName(materialise(compare(pairs, "family", "block", "chunk")))
+    return links.unionByName(compare(pairs, "family", "block", "chunk"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
