@@ -5,9 +5,9 @@
 2. On three scales, corners are local maxima of the Harris response; the strongest
    ``KEYPOINTS`` stay. A corner's orientation points to the intensity centroid of
    its disc; 256 brightness tests, rotated to it, make its descriptor.
-3. Descriptors meet in ``TABLES`` tables keyed by 24 of their bits. The join counts
-   meetings of a query image and another (partially aggregated, no descriptors
-   travel); pairs with ``VOTES`` of them are candidates.
+3. Blocks of images meet chunks of queries. In a task, descriptors are joined on
+   ``TABLES`` tables keyed by 24 of their bits; pairs of images that meet ``VOTES`` times
+   are candidates. No pair leaves the task before it is confirmed.
 4. A candidate pair compares all its descriptors exactly: mutual nearest within
    ``HAMMING`` bits. Every pair of matches proposes a shift, turn and scale; the
    proposal that most matches agree with within ``TOLERANCE`` pixels is the
@@ -20,6 +20,7 @@ undecodable image is not an error. Repeated ids give a row each way.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -34,8 +35,10 @@ from seriesforge.llm.common import materialise
 
 QUERY_EVERY = 50
 SCALES = (1.0, 2**-0.5, 0.5)
-KEYPOINTS, BITS, RADIUS = 48, 256, 12
-TABLES, KEY_BITS, VOTES = 12, 24, 3
+KEYPOINTS, BITS, RADIUS = 40, 256, 12
+TABLES, KEY_BITS, VOTES = 8, 24, 5
+#: Images and queries of one comparison task.
+IMAGES, QUERIES = 2048, 1024
 HAMMING, TOLERANCE, INLIERS = 60, 3.0, 8
 TURNS = 30
 
@@ -180,16 +183,17 @@ def compare(kp_a: np.ndarray, d_a: np.ndarray, kp_b: np.ndarray, d_b: np.ndarray
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Images to digests and descriptors; images without corners drop out. Pixels go no further."""
     for b in batches:
-        ids, blobs, keys = [], [], []
+        ids, digests, blobs = [], [], []
         for i, image in zip(b.column("image_id").to_pylist(), b.column("image").to_pylist(), strict=True):
             grey = decode(image)
             if grey is None:
                 continue
             kp, d = keypoints(grey)
             if len(d):
-                ids.append(i), blobs.append(kp.tobytes() + d.tobytes()), keys.append(np.unique(table_keys(d)).tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["image_id", "blob", "keys"])
+                ids.append(i), digests.append(hashlib.sha256(image).digest()), blobs.append(kp.tobytes() + d.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(blobs, pa.binary())], names=["image_id", "k", "blob"])
 
 
 def _unblob(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -197,31 +201,59 @@ def _unblob(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(blob, np.float32, 3 * n).reshape(n, 3), np.frombuffer(blob, np.uint8, offset=12 * n).reshape(n, BITS // 8)
 
 
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        got = [compare(*_unblob(a), *_unblob(b)) for a, b in zip(pdf["q_blob"], pdf["x_blob"], strict=True)]
-        m = pd.DataFrame(got, columns=["n_matches", "n_inliers", "scale", "turn"])
-        out = pd.concat([pdf[["query_rep", "match_rep"]].reset_index(drop=True), m], axis=1)
-        yield out[out["n_inliers"] >= INLIERS]
+def _postings(described: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Table keys of images and the image of each, ordered by key."""
+    keys = [np.unique(table_keys(d)) for _, d in described]
+    owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    key = np.concatenate([np.zeros(0, np.int64), *keys])
+    order = np.argsort(key, kind="stable")
+    return key[order], owner[order]
+
+
+def candidates(q: list[tuple[np.ndarray, np.ndarray]], x: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of (query, image) pairs that meet ``VOTES`` times in the tables."""
+    qk, qo = _postings(q)
+    xk, xo = _postings(x)
+    lo, hi = np.searchsorted(xk, qk, "left"), np.searchsorted(xk, qk, "right")
+    n = hi - lo
+    met = np.repeat(qo, n) * len(x) + xo[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    pair, votes = np.unique(met, return_counts=True)
+    pair = pair[votes >= VOTES]
+    return pair // max(1, len(x)), pair % max(1, len(x))
+
+
+def _search(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One block of images against one chunk of queries: tables, then exact comparison."""
+    asked = pdf["side"].to_numpy() == 0
+    qid, xid = pdf["rep"].to_numpy()[asked], pdf["rep"].to_numpy()[~asked]
+    q, x = ([_unblob(b) for b in pdf["blob"][m]] for m in (asked, ~asked))
+    rows = []
+    for i, j in zip(*candidates(q, x), strict=True):
+        if qid[i] != xid[j]:
+            found = compare(*q[i], *x[j])
+            if found[1] >= INLIERS:
+                rows.append((qid[i], xid[j], *found))
+    return pd.DataFrame(rows, columns=["query_rep", "match_rep", "n_matches", "n_inliers", "scale", "turn"])
 
 
 def find_copies(media: DataFrame, id_col: str = "image_id", image_col: str = "image", every: int = QUERY_EVERY) -> DataFrame:
     """``query_id, match_id, n_matches, n_inliers, scale, turn`` of confirmed copies of the query images."""
     src = media.select(F.col(id_col).cast("bigint").alias("image_id"), F.col(image_col).alias("image")).where("image is not null and image_id is not null")
-    keyed = src.withColumn("k", F.sha2("image", 256))
-    groups = materialise(keyed.groupBy("k").agg(F.min("image_id").alias("rep"), F.first("image").alias("image"), F.max((F.pmod("image_id", F.lit(every)) == 0).cast("int")).alias("asked")))
-    member = materialise(keyed.select("image_id", "k").join(groups.select("k", "rep"), "k").select("image_id", "rep"))
-    described = groups.select(F.col("rep").alias("image_id"), "image").mapInArrow(_describe, "image_id long, blob binary, keys array<long>")
-    index = materialise(described.join(groups.select(F.col("rep").alias("image_id"), "asked"), "image_id"))
-    posted = index.select(F.col("image_id").alias("x"), F.explode("keys").alias("key"))
-    asked = index.where("asked = 1").select(F.col("image_id").alias("q"), F.explode("keys").alias("key"))
-    votes = asked.join(posted, "key").where("q <> x").groupBy("q", "x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= VOTES)
-    pairs = votes.join(index.select(F.col("image_id").alias("q"), F.col("blob").alias("q_blob")), "q").join(index.select(F.col("image_id").alias("x"), F.col("blob").alias("x_blob")), "x")
-    pairs = pairs.select(F.col("q").alias("query_rep"), F.col("x").alias("match_rep"), "q_blob", "x_blob")
-    seen = pairs.mapInPandas(_verify, "query_rep long, match_rep long, n_matches long, n_inliers long, scale double, turn double")
+    described = materialise(src.mapInArrow(_describe, "image_id long, k binary, blob binary"))
+    ask = F.max((F.pmod("image_id", F.lit(every)) == 0).cast("int")).alias("asked")
+    index = materialise(described.groupBy("k").agg(F.min("image_id").alias("rep"), F.first("blob").alias("blob"), ask))
+    member = described.select("image_id", "k").join(index.select("k", "rep"), "k").select("image_id", "rep")
+    size = index.agg(F.count(F.lit(1)).alias("n"), F.sum("asked").alias("q")).first()
+    blocks, chunks = max(1, -(-size["n"] // IMAGES)), max(1, -(-(size["q"] or 0) // QUERIES))
+    deal = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.lit(n)).cast("int")
+    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    x = index.select("rep", "blob", F.lit(1).alias("side"), deal(blocks, 1).alias("block"), every_one(chunks).alias("chunk"))
+    q = index.where("asked = 1").select("rep", "blob", F.lit(0).alias("side"), every_one(blocks).alias("block"), deal(chunks, 2).alias("chunk"))
+    schema = "query_rep long, match_rep long, n_matches long, n_inliers long, scale double, turn double"
+    seen = x.unionByName(q.select(x.columns)).groupBy("block", "chunk").applyInPandas(_search, schema)
     # equal images: confirmed by their bytes; only images with corners take part
-    own = index.where("asked = 1").select(F.col("image_id").alias("query_rep"), F.col("image_id").alias("match_rep"), (F.length("blob") / (12 + BITS // 8)).cast("bigint").alias("n_matches"))
-    own = own.select("query_rep", "match_rep", "n_matches", F.col("n_matches").alias("n_inliers"), F.lit(1.0).alias("scale"), F.lit(0.0).alias("turn"))
+    n = (F.length("blob") / (12 + BITS // 8)).cast("bigint")
+    own = index.where("asked = 1").select(F.col("rep").alias("query_rep"), F.col("rep").alias("match_rep"), n.alias("n_matches"), n.alias("n_inliers"), F.lit(1.0).alias("scale"), F.lit(0.0).alias("turn"))
     hits = seen.unionByName(own)
     q = member.where(F.pmod("image_id", F.lit(every)) == 0).select(F.col("image_id").alias("query_id"), F.col("rep").alias("query_rep"))
     m = member.select(F.col("image_id").alias("match_id"), F.col("rep").alias("match_rep"))
@@ -229,23 +261,22 @@ def find_copies(media: DataFrame, id_col: str = "image_id", image_col: str = "im
     return out.select("query_id", "match_id", "n_matches", "n_inliers", "scale", "turn")
 
 
-SIDE, SHAPES = 128, 16
+SIDE, WAVES = 128, 16
 
 
 def render(vector: np.ndarray) -> bytes:
-    """A deterministic picture of a vector: overlapping rectangles placed by groups of four components.
+    """A deterministic picture of a vector: a sum of waves, each from four components.
 
-    Near vectors give slightly edited pictures, so a table of vectors serves as a media table.
+    Direction, length, phase and strength follow the components smoothly, so near
+    vectors give slightly distorted pictures, and a table of vectors serves as a media table.
     """
-    v = np.resize(np.asarray(vector, dtype=np.float64), 4 * SHAPES).reshape(SHAPES, 4)
-    scale = np.sqrt((v * v).mean()) or 1.0
-    v = np.clip(v / scale, -2.5, 2.5)
-    a = np.full((SIDE, SIDE), 128.0)
-    for x, y, size, tone in v:
-        cx, cy = SIDE / 2 + x * SIDE / 6, SIDE / 2 + y * SIDE / 6
-        w, h = 10 + abs(size) * 9, 10 + abs(tone) * 9
-        a[max(0, round(cy - h)) : max(0, round(cy + h)), max(0, round(cx - w)) : max(0, round(cx + w))] += 45 * (1 if size > 0 else -1) + 12 * tone
-    return encode_pgm(a)
+    v = np.resize(np.asarray(vector, dtype=np.float64), 4 * WAVES).reshape(WAVES, 4)
+    v = np.clip(v / (np.sqrt((v * v).mean()) or 1.0), -2.5, 2.5)
+    t = np.arange(SIDE) / SIDE
+    across = np.exp(2j * np.pi * 4.5 * v[:, :1] * t)  # (waves, x)
+    down = np.exp(2j * np.pi * (4.5 * v[:, 1:2] * t + v[:, 2:3] / 2)) * (1 + 0.3 * v[:, 3:])
+    a = (down.T @ across).real
+    return encode_pgm(128 + 110 * np.tanh(a / 5.0))
 
 
 #: Every tenth picture of the media table has an edited crop; its id is that of the picture plus ``COPY``.
