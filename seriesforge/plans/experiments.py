@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import time
 import zlib
 
@@ -22,6 +23,9 @@ from seriesforge.sources.results import ARCHIVE_SCHEMA, RUNS_SCHEMA, SCALING_SCH
 from seriesforge.sources.series import assert_series, dataset_paths, read_dataset_list, read_series_csv, read_series_text
 
 
+log = logging.getLogger(__name__)
+
+
 def timed(action) -> tuple[float, object]:
     at = time.perf_counter()
     out = action()
@@ -52,6 +56,7 @@ def run_archive(spark: SparkSession, names: list[str], root: str, runs: int = 10
             t_fit, model = timed(lambda: fit_ridge(train, bank))
             t_score, acc = timed(lambda: accuracy(predict(test, bank, model)).first()[0])
             rows.append((name, run, acc, t_tr, t_te, t_fit, t_score))
+            log.info("%-32s run %3d accuracy %.4f", name, run, acc)
         train.unpersist(), test.unpersist()
     return summarise_runs(results_frame(spark, rows, RUNS_SCHEMA)) if rows else results_frame(spark, [], ARCHIVE_SCHEMA)
 
@@ -68,6 +73,7 @@ def run_scaling(
         seconds, model = timed(lambda: SoftmaxTrainer(num_classes, seed=seed).fit(train, valid, bank))
         test = znormalise(read_series_csv(spark, test_path, 0, holdout))
         rows.append((n, accuracy(predict(test, bank, model)).first()[0], seconds))
+        log.info("%8d training series accuracy %.4f in %.1f s", *rows[-1])
     return results_frame(spark, rows, SCALING_SCHEMA)
 
 

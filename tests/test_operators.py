@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesforge import make_kernels, transform_long, transform_sql, transform_wide
+from seriesforge.functions.sql_surface import register_kernel_transform
 from seriesforge.operators import evaluate as E
 from seriesforge.operators.normalise import znormalise
 from seriesforge.operators.ridge import fit_ridge, loo_errors
@@ -118,3 +119,12 @@ def test_streaming_transform_equals_batch(spark, sf, tmp_path):
     q = stream.writeStream.format("memory").queryName("feats").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("feats").exceptAll(transform_long(znormalise(src), bank)).count() == 0 and spark.table("feats").count() == 3 * src.count()
+
+
+def test_sql_table_function_equals_transform(spark):
+    bank = make_kernels(30, 3, 3)
+    df = frame(spark, np.random.default_rng(1).normal(size=(4, 30)))
+    df.createOrReplaceTempView("series")
+    register_kernel_transform(spark, bank)
+    got = spark.sql("SELECT s.series_id, t.kernel_id, t.ppv, t.mx FROM series s, LATERAL kernel_transform(s.x) t")
+    assert got.exceptAll(transform_long(df.drop("label"), bank)).count() == 0 and got.count() == 12
