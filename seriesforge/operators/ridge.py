@@ -27,6 +27,9 @@ from seriesforge.operators.transform import features, transform_wide
 #: The penalties tried by default.
 ALPHAS = tuple(10.0**e for e in np.linspace(-3, 3, 10))
 
+#: Bytes of shares that the driver takes at once; more are summed on executors first.
+MAX_COLLECTED = 1 << 29
+
 
 @dataclass
 class RidgeModel:
@@ -54,10 +57,14 @@ def targets(labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return classes, y[:, 1:] if len(classes) == 2 else y
 
 
-def loo_errors(gram: np.ndarray, y: np.ndarray, alphas: tuple[float, ...]) -> dict[float, float]:
-    """Mean squared leave-one-out residual by penalty from the n x n Gram matrix of centred columns."""
+def spectrum(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues (none negative) and eigenvectors; one decomposition serves all penalties and the solution."""
     values, q = np.linalg.eigh(gram)
-    values = np.maximum(values, 0.0)
+    return np.maximum(values, 0.0), q
+
+
+def loo_errors(values: np.ndarray, q: np.ndarray, y: np.ndarray, alphas: tuple[float, ...]) -> dict[float, float]:
+    """Mean squared leave-one-out residual by penalty from the spectrum of the n x n Gram matrix of centred columns."""
     yc = y - y.mean(axis=0)
     qy, q2 = q.T @ yc, q**2
     out = {}
@@ -87,8 +94,13 @@ def _summed(parts: DataFrame, shape: tuple[int, int], groups: int) -> np.ndarray
         return pd.DataFrame({"m": [total.tobytes()]})
 
     total = np.zeros(shape)
-    for r in parts.groupBy(F.pmod("part", F.lit(groups))).applyInPandas(add, "m binary").toLocalIterator():
-        total += np.frombuffer(r["m"]).reshape(shape)
+    if parts.rdd.getNumPartitions() * total.nbytes > MAX_COLLECTED:
+        parts = parts.groupBy(F.pmod("part", F.lit(groups))).applyInPandas(add, "m binary")
+        blobs = (r["m"] for r in parts.toLocalIterator())
+    else:  # a part for each task, computed side by side and small enough together
+        blobs = parts.select("m").toPandas()["m"]
+    for m in blobs:
+        total += np.frombuffer(m).reshape(shape)
     return total
 
 
@@ -110,21 +122,25 @@ def _fit_kernels(df: DataFrame, bank: KernelBank, alphas: tuple[float, ...], blo
     classes, y = targets(rows["label"].to_numpy())
     n, p = len(x), 2 * len(bank)
     held = spark.sparkContext.broadcast(x)
-    blocks = spark.range(0, len(bank), block).select(F.col("id").alias("part")).repartition(max(1, -(-len(bank) // block)), "part")
+    tasks = max(1, min(-(-len(bank) // block), spark.sparkContext.defaultParallelism))
+    blocks = spark.range(0, len(bank), block, numPartitions=tasks).select(F.col("id").alias("part"))
 
     def part_bank(at: int) -> KernelBank:
         return KernelBank(bank.input_length, bank.kernels[at : at + block])
 
     def share(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, part = np.zeros((n, n)), 0
         for pdf in batches:
-            for at in pdf["part"].tolist():
-                z, _, _ = _scaled(features(held.value, part_bank(at)))
-                yield pd.DataFrame({"part": [at], "m": [(z @ z.T).tobytes()]})
+            for part in pdf["part"].tolist():
+                z, _, _ = _scaled(features(held.value, part_bank(part)))
+                total += z @ z.T
+        yield pd.DataFrame({"part": [part // block], "m": [total.tobytes()]})
 
     gram = _summed(blocks.mapInPandas(share, "part long, m binary"), (n, n), groups=8)
-    errors = loo_errors(gram, y, alphas)
+    values, q = spectrum(gram)
+    errors = loo_errors(values, q, y, alphas)
     alpha = min(alphas, key=lambda a: errors[a])
-    dual = np.linalg.solve(gram + alpha * np.eye(n), y - y.mean(axis=0))
+    dual = q @ ((q.T @ (y - y.mean(axis=0))) / (values + alpha)[:, None])
 
     def weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -134,7 +150,7 @@ def _fit_kernels(df: DataFrame, bank: KernelBank, alphas: tuple[float, ...], blo
                 yield pd.DataFrame({"part": [at], "m": [w.tobytes()], "shift": [(mean @ w).tobytes()]})
 
     coef, shift = np.zeros((p, y.shape[1])), np.zeros(y.shape[1])
-    for r in blocks.mapInPandas(weights, "part long, m binary, shift binary").toLocalIterator():
+    for r in blocks.mapInPandas(weights, "part long, m binary, shift binary").collect():  # features x classes numbers in all
         w = np.frombuffer(r["m"]).reshape(-1, y.shape[1])
         coef[2 * r["part"] : 2 * r["part"] + len(w)] = w
         shift += np.frombuffer(r["shift"])
