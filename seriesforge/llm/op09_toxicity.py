@@ -96,7 +96,7 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         params = zstandard.ZstdCompressionParameters(
-            window_log=20, hash_log=18, chain_log=16, search_log=1, min_match=4, target_length=1, strategy=zstandard.STRATEGY_FAST,
+            window_log=20, hash_log=18, chain_log=18, search_log=5, min_match=4, target_length=32, strategy=zstandard.STRATEGY_LAZY2,
             write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
         )
         content = lambda b: zstandard.ZstdCompressionDict(b, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -131,7 +131,8 @@ class Scorer:
         if not len(m.weights):
             return np.zeros(len(texts))
         x = (np.array([self.features(t) for t in texts]).reshape(len(texts), len(m.center)) - m.center) / m.scale
-        return 1.0 / (1.0 + np.exp(-np.clip(x @ m.weights[:-1] + m.weights[-1], -30, 30)))
+        z = (x * m.weights[:-1]).sum(axis=1) + m.weights[-1]  # row by row: the same in every batch
+        return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1.0, rounds: int = 50) -> np.ndarray:
