@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on (a single longer text is one step).
 STEP_BYTES = 1 << 21
+#: Ways in which the neighbours of a component's root are dealt.
+SALTS = 8
 #: Rows of an Arrow batch that carries texts.
 TEXT_ROWS = 1000
 
@@ -228,10 +230,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     for _ in range(max_rounds):
         low = links.groupBy("a").agg(F.min("b").alias("m"))
         hooked = links.join(low, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        above = low.select(F.col("a").alias("m"), F.col("m").alias("mm"))
-        jumped = low.join(above, "m", "left").select("a", F.coalesce("mm", "m").alias("b"))
+        # salted: the neighbours of one root may be a third of all nodes
+        above = low.select(F.col("a").alias("m"), F.col("m").alias("mm"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        dealt = low.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
+        jumped = dealt.join(above, ["m", "salt"], "left").select("a", F.coalesce("mm", "m").alias("b"))
         links = materialise(jumped.unionByName(hooked).distinct())
-        inner = links.select(F.col("a").alias("b")).distinct()
+        inner = links.select(F.col("a").alias("b"))
         left = links.join(inner, "b", "left_semi").limit(1).count()
         many = 0 if left else links.groupBy("a").agg(F.count_distinct("b").alias("n")).where("n > 1").limit(1).count()
         if not left and not many:
