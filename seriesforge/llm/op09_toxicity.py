@@ -10,8 +10,9 @@ that into a probability, and 0.5 of it is the threshold.
 
 A window is one word between constant frames that both dictionaries hold: a frame
 compresses to a match, so every byte of difference comes from the word, and equal
-words share one result. Dictionaries are given to zstd as content: its own
-trainer keeps under 2 KB of samples this short and finds half of the toxic texts.
+words share one result. The dictionaries' content is chosen here, by frequency, and
+given to zstd as it is: zstd's own trainer on the same windows drops rare ones
+(held-out F1 0.81 against 0.94 at sf0.1, 0.987 against 0.996 on check_s).
 
 Labels are learnt from rows outside fold 0 of 5 only, at most ``MAX_TOXIC`` and
 ``MAX_ORDINARY`` of them (the smallest ids by hash); nothing but the text enters
