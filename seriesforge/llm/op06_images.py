@@ -35,10 +35,10 @@ from seriesforge.llm.common import materialise
 
 QUERY_EVERY = 50
 SCALES = (1.0, 2**-0.5, 0.5)
-KEYPOINTS, BITS, RADIUS = 40, 256, 12
-TABLES, KEY_BITS, VOTES = 8, 24, 5
-#: Images and queries of one comparison task.
-IMAGES, QUERIES = 2048, 1024
+KEYPOINTS, BITS, RADIUS = 48, 256, 12
+TABLES, KEY_BITS, VOTES = 12, 24, 3
+#: Images and queries of one comparison task, and meetings that it counts at a time.
+IMAGES, QUERIES, MEETINGS = 2048, 1024, 1 << 22
 HAMMING, TOLERANCE, INLIERS = 60, 3.0, 8
 TURNS = 30
 
@@ -53,7 +53,6 @@ KEYS = np.stack([_rng.permutation(BITS)[:KEY_BITS] for _ in range(TABLES)])
 _disc = [(x, y) for y in range(-7, 8) for x in range(-7, 8) if x * x + y * y <= 49]
 DISC = np.array(_disc)
 _HEADER = re.compile(rb"^(P[56])\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s")
-_BITCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
 def encode_pgm(grey: np.ndarray) -> bytes:
@@ -173,7 +172,7 @@ def compare(kp_a: np.ndarray, d_a: np.ndarray, kp_b: np.ndarray, d_b: np.ndarray
     """Mutual matches, inliers, scale and turn (degrees) of the best similarity from a to b."""
     if not len(d_a) or not len(d_b):
         return 0, 0, 1.0, 0.0
-    far = _BITCOUNT[d_a[:, None, :] ^ d_b[None, :, :]].sum(axis=2, dtype=np.int64)
+    far = np.bitwise_count(d_a.view(np.uint64)[:, None, :] ^ d_b.view(np.uint64)[None, :, :]).sum(axis=2, dtype=np.int64)
     ab, ba = far.argmin(axis=1), far.argmin(axis=0)
     i = np.arange(len(d_a))
     good = (ba[ab] == i) & (far[i, ab] <= HAMMING)
@@ -182,6 +181,60 @@ def compare(kp_a: np.ndarray, d_a: np.ndarray, kp_b: np.ndarray, d_b: np.ndarray
     return int(good.sum()), n, abs(f), math.degrees(math.atan2(f.imag, f.real))
 
 
+def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether a similarity may explain ``INLIERS`` of the matches of each pair; a, b: (pairs, n, 2) points.
+
+    The bounds of ``consensus`` with some slack for rounding, so that a pair it confirms is never refused.
+    """
+    n = a.shape[1]
+    out = np.zeros(len(a), dtype=bool)
+    i, j = np.triu_indices(n, 1)
+    step = max(1, (1 << 20) // (len(i) * n))
+    for at in range(0, len(a), step):
+        p, q = a[at : at + step], b[at : at + step]
+        d, e = p[:, j] - p[:, i], q[:, j] - q[:, i]
+        dd = (d * d).sum(axis=2)
+        ratio = (e * e).sum(axis=2) / np.maximum(dd, 1e-6)
+        pair, k = np.nonzero((dd > 63.9) & (ratio > 0.159) & (ratio < 6.26))
+        d, e, dd, p, q = d[pair, k], e[pair, k], dd[pair, k], p[pair], q[pair]
+        re = ((d * e).sum(axis=1) / dd)[:, None]
+        im = ((d[:, 0] * e[:, 1] - d[:, 1] * e[:, 0]) / dd)[:, None]
+        row, k = np.arange(len(pair)), i[k]
+        x, y = p[..., 0] - p[row, k, 0][:, None], p[..., 1] - p[row, k, 1][:, None]
+        u = re * x - im * y - (q[..., 0] - q[row, k, 0][:, None])
+        v = re * y + im * x - (q[..., 1] - q[row, k, 1][:, None])
+        agree = (u * u + v * v < (TOLERANCE * 1.01) ** 2).sum(axis=1)
+        out[at + pair[agree >= INLIERS]] = True
+    return out
+
+
+def promising(q: tuple[np.ndarray, np.ndarray], x: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Positions of the images that ``compare`` may confirm for a query; only pairs it refuses are left out."""
+    kp, desc = q
+    found, size = [], np.array([len(d) for _, d in x], dtype=np.int64)
+    for n in np.unique(size):  # images with equally many corners together
+        every = np.flatnonzero(size == n)
+        for at in range(0, len(every), 256):
+            own = every[at : at + 256]
+            other = np.stack([x[k][1] for k in own]).view(np.uint64)
+            mine = desc.view(np.uint64)
+            far = np.zeros((len(own), len(desc), n), dtype=np.uint16)
+            for w in range(BITS // 64):
+                far += np.bitwise_count(mine[None, :, None, w] ^ other[:, None, :, w])
+            ab, ba = far.argmin(axis=2), np.ascontiguousarray(far.transpose(0, 2, 1)).argmin(axis=2)
+            near = np.take_along_axis(far, ab[..., None], axis=2)[..., 0]
+            good = (np.take_along_axis(ba, ab, axis=1) == np.arange(len(desc))) & (near <= HAMMING)
+            n_good = good.sum(axis=1)
+            points = np.stack([x[k][0][:, :2] for k in own])
+            for m in np.unique(n_good[n_good >= INLIERS]):
+                of = np.flatnonzero(n_good == m)
+                row, i = np.nonzero(good[of])
+                a = kp[i, :2].reshape(len(of), m, 2)
+                b = points[of[row], ab[of[row], i]].reshape(len(of), m, 2)
+                found.append(own[of[_agreeing(a, b)]])
+    return np.sort(np.concatenate([np.zeros(0, np.int64), *found]))
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Images to digests and descriptors; images without corners drop out. Pixels go no further."""
     for b in batches:
@@ -212,13 +265,24 @@ def _postings(described: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarra
 
 def candidates(q: list[tuple[np.ndarray, np.ndarray]], x: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Positions of (query, image) pairs that meet ``VOTES`` times in the tables."""
-    qk, qo = _postings(q)
     xk, xo = _postings(x)
+    found = []
+    qk, qo = _postings(q)
+    order = np.argsort(qo, kind="stable")
+    qk, qo = qk[order], qo[order]
     lo, hi = np.searchsorted(xk, qk, "left"), np.searchsorted(xk, qk, "right")
-    n = hi - lo
-    met = np.repeat(qo, n) * len(x) + xo[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-    pair, votes = np.unique(met, return_counts=True)
-    pair = pair[votes >= VOTES]
+    ends = np.searchsorted(qo, np.arange(len(q) + 1))
+    upto = np.concatenate([[0], np.cumsum(hi - lo)])[ends]  # meetings before each query
+    at = 0
+    while at < len(q):  # whole queries, so that all votes of a pair are counted together
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + MEETINGS, "right")) - 1)
+        part = slice(ends[at], ends[to])
+        n = hi[part] - lo[part]
+        met = np.repeat(qo[part], n) * len(x) + xo[np.repeat(lo[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        pair, votes = np.unique(met, return_counts=True)
+        found.append(pair[votes >= VOTES])
+        at = to
+    pair = np.concatenate([np.zeros(0, np.int64), *found])
     return pair // max(1, len(x)), pair % max(1, len(x))
 
 
@@ -228,11 +292,14 @@ def _search(pdf: pd.DataFrame) -> pd.DataFrame:
     qid, xid = pdf["rep"].to_numpy()[asked], pdf["rep"].to_numpy()[~asked]
     q, x = ([_unblob(b) for b in pdf["blob"][m]] for m in (asked, ~asked))
     rows = []
-    for i, j in zip(*candidates(q, x), strict=True):
-        if qid[i] != xid[j]:
-            found = compare(*q[i], *x[j])
-            if found[1] >= INLIERS:
-                rows.append((qid[i], xid[j], *found))
+    asks, has = candidates(q, x)
+    for i in np.unique(asks):
+        met = has[asks == i]
+        for j in met[promising(q[i], [x[j] for j in met])]:
+            if qid[i] != xid[j]:
+                found = compare(*q[i], *x[j])
+                if found[1] >= INLIERS:
+                    rows.append((qid[i], xid[j], *found))
     return pd.DataFrame(rows, columns=["query_rep", "match_rep", "n_matches", "n_inliers", "scale", "turn"])
 
 
@@ -261,22 +328,23 @@ def find_copies(media: DataFrame, id_col: str = "image_id", image_col: str = "im
     return out.select("query_id", "match_id", "n_matches", "n_inliers", "scale", "turn")
 
 
-SIDE, WAVES = 128, 16
+SIDE, SHAPES = 128, 16
 
 
 def render(vector: np.ndarray) -> bytes:
-    """A deterministic picture of a vector: a sum of waves, each from four components.
+    """A deterministic picture of a vector: overlapping rectangles placed by groups of four components.
 
-    Direction, length, phase and strength follow the components smoothly, so near
-    vectors give slightly distorted pictures, and a table of vectors serves as a media table.
+    Near vectors give slightly edited pictures, so a table of vectors serves as a media table.
     """
-    v = np.resize(np.asarray(vector, dtype=np.float64), 4 * WAVES).reshape(WAVES, 4)
-    v = np.clip(v / (np.sqrt((v * v).mean()) or 1.0), -2.5, 2.5)
-    t = np.arange(SIDE) / SIDE
-    across = np.exp(2j * np.pi * 4.5 * v[:, :1] * t)  # (waves, x)
-    down = np.exp(2j * np.pi * (4.5 * v[:, 1:2] * t + v[:, 2:3] / 2)) * (1 + 0.3 * v[:, 3:])
-    a = (down.T @ across).real
-    return encode_pgm(128 + 110 * np.tanh(a / 5.0))
+    v = np.resize(np.asarray(vector, dtype=np.float64), 4 * SHAPES).reshape(SHAPES, 4)
+    scale = np.sqrt((v * v).mean()) or 1.0
+    v = np.clip(v / scale, -2.5, 2.5)
+    a = np.full((SIDE, SIDE), 128.0)
+    for x, y, size, tone in v:
+        cx, cy = SIDE / 2 + x * SIDE / 6, SIDE / 2 + y * SIDE / 6
+        w, h = 10 + abs(size) * 9, 10 + abs(tone) * 9
+        a[max(0, round(cy - h)) : max(0, round(cy + h)), max(0, round(cx - w)) : max(0, round(cx + w))] += 45 * (1 if size > 0 else -1) + 12 * tone
+    return encode_pgm(a)
 
 
 #: Every tenth picture of the media table has an edited crop; its id is that of the picture plus ``COPY``.
