@@ -25,9 +25,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op01_quality.score(docs, op01_quality.train(docs)).where("quality_score >= 0.5").select(*docs.columns)
 
 
+#: Similarity of the near_dedup stage in percent; its bands miss a pair of that similarity with probability 3e-5.
+NEAR, NEAR_BANDS, NEAR_ROWS = 80, 34, 6
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of every near-duplicate group."""
-    kept = op10_minhash.near_duplicates(docs).where("kept").select("doc_id")
+    """The document of the smallest id of every near-duplicate group, linked at ``NEAR`` percent of five-word shingles."""
+    groups = op10_minhash.near_duplicates(docs, num=NEAR, bands=NEAR_BANDS, rows=NEAR_ROWS)
+    kept = groups.where("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 

@@ -34,6 +34,8 @@ from seriesforge.llm.common import U64, Words, connected_components, materialise
 BANDS, ROWS = 32, 8
 #: Sets that one comparison task holds on each side.
 BLOCK = 256
+#: Shingles that a comparison holds at a time.
+SLICE = 1 << 19
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -113,24 +115,35 @@ def _sets(size: int):
 
 
 def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, as products of 0/1 matrices over shared elements, in column blocks."""
-    every = np.concatenate([*left, *right]) if left or right else np.empty(0, np.uint64)
+    """Sizes of all intersections; ranges of hashes one after the other, so that memory does not follow the sets."""
+    same = right is left
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    every = left if same else [*left, *right]
+    slices = sum(map(len, every)) // SLICE + 1
+    edges = np.array([(k << 64) // slices for k in range(1, slices)], dtype=np.uint64)
+    cuts = [np.concatenate([[0], np.searchsorted(v, edges), [len(v)]]) for v in every]
+    for k in range(slices):
+        _add_shared(out, [v[c[k] : c[k + 1]] for v, c in zip(every, cuts, strict=True)], len(left), same)
+    return out
+
+
+def _add_shared(out: np.ndarray, sets: list[np.ndarray], n_left: int, same: bool) -> None:
+    """Adds products of 0/1 matrices over shared elements, in column blocks."""
+    every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
     _, code = np.unique(every, return_inverse=True)
-    owner = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
-    # elements of one set only cannot be shared
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    # elements of one set only cannot be shared, other than with itself
     shared = np.bincount(code, minlength=1)[code] > 1
     code, owner = code[shared], owner[shared]
     _, code = np.unique(code, return_inverse=True)
-    out = np.zeros((len(left), len(right)), dtype=np.float32)
     width = 8192
     order = np.argsort(code, kind="stable")
     code, owner = code[order], owner[order]
     for at in range(0, int(code[-1]) + 1 if len(code) else 0, width):
         lo, hi = np.searchsorted(code, [at, at + width])
-        m = np.zeros((len(left) + len(right), width), dtype=np.float32)
+        m = np.zeros((len(sets), width), dtype=np.float32)
         m[owner[lo:hi], code[lo:hi] - at] = 1.0
-        out += m[: len(left)] @ m[len(left) :].T
-    return out
+        out += m @ m.T if same else m[:n_left] @ m[n_left:].T
 
 
 def linked_pairs(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -> np.ndarray:
@@ -152,7 +165,8 @@ def _compare(num: int, den: int):
         inner = not len(ri)
         if inner:
             ri = li
-        ok = linked_pairs([sets[i] for i in li], [sets[i] for i in ri], num, den)
+        left = [sets[i] for i in li]
+        ok = linked_pairs(left, left if inner else [sets[i] for i in ri], num, den)
         ok &= np.triu(np.ones(ok.shape, bool), 1) if inner else comp[li][:, None] != comp[ri][None, :]
         x, y = np.nonzero(ok)
         return pd.DataFrame({"a": ids[li][x], "b": ids[ri][y]})
