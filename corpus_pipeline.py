@@ -30,10 +30,14 @@ NEAR, NEAR_BANDS, NEAR_ROWS = 80, 34, 6
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of every near-duplicate group, linked at ``NEAR`` percent of five-word shingles."""
+    """The document of the smallest id of every near-duplicate group, linked at ``NEAR`` percent of five-word shingles.
+
+    Documents without an id stay.
+    """
     groups = op10_minhash.near_duplicates(docs, num=NEAR, bands=NEAR_BANDS, rows=NEAR_ROWS)
     kept = groups.where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    named = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return named.unionByName(docs.where("doc_id is null"))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -330,7 +330,7 @@ def repeated_ranges(src: DataFrame) -> DataFrame:
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     small_text_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,17 +357,17 @@ def _cut(raw: bytes, rs: pa.Scalar) -> tuple[bytes, int, int]:
 
 
 def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document; texts without an id stay uncut and cut no other."""
     src = _source(docs, id_col, text_col)
-    whole = src.join(repeated_ranges(src).hint("shuffle_hash"), "doc_id", "left")
+    whole = src.join(repeated_ranges(src.where("doc_id is not null")).hint("shuffle_hash"), "doc_id", "left")
     return whole.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated bytes cut from the text; pieces of a cut character go with it. Same columns."""
+    """``docs`` with repeated bytes cut from the text; pieces of a cut character go with it. Same columns. Texts without an id stay uncut."""
     schema = docs.schema
     small_text_batches(docs.sparkSession)
-    ranges_of = repeated_ranges(_source(docs, id_col, text_col)).select(F.col("doc_id").alias("_cut_id"), F.col("rs").alias("_cut_ranges"))
+    ranges_of = repeated_ranges(_source(docs, id_col, text_col).where("doc_id is not null")).select(F.col("doc_id").alias("_cut_id"), F.col("rs").alias("_cut_ranges"))
     joined = docs.join(ranges_of.hint("shuffle_hash"), docs[id_col] == F.col("_cut_id"), "left").drop("_cut_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
