@@ -12,17 +12,18 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on (a single longer text is one step).
 STEP_BYTES = 1 << 21
-#: Ways in which the neighbours of a component's root are dealt.
-SALTS = 8
-#: Rows of an Arrow batch that carries texts.
-TEXT_ROWS = 1000
+#: Rows and bytes of an Arrow batch that carries texts.
+TEXT_ROWS, TEXT_BYTES = 1000, 8 << 20
+#: Edges of which one partition's union-find holds at most this many at a time.
+FOREST_EDGES = 4_000_000
+#: Rows of a table that a lookup broadcasts (three longs a row); share of the rows, as its inverse, that makes a key hot.
+BROADCAST_ROWS, HOT_KEYS = 200_000, 1000
 
 U64 = np.uint64
 
@@ -39,19 +40,32 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors.
 
-    The table goes when the application ends.
+    The table goes when the application ends, or by ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    table = spark._jvm.org.apache.hadoop.fs.Path(path)
-    table.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(table)
-    return spark.read.schema(df.schema).parquet(path)
+    _files(spark, path, "deleteOnExit")
+    table = spark.read.schema(df.schema).parquet(path)
+    table._shared_path = path
+    return table
+
+
+def _files(spark: SparkSession, path: str, method: str, *args) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    getattr(at.getFileSystem(spark._jsc.hadoopConfiguration()), method)(at, *args)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that no later step reads."""
+    for t in tables:
+        _files(t.sparkSession, t._shared_path, "delete", True)
 
 
 def small_text_batches(spark: SparkSession) -> None:
-    """Bound the rows of Arrow batches; texts of 100 KB and more share a batch otherwise."""
+    """Bound the rows and bytes of Arrow batches; long texts share a batch otherwise."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
 
 
 def bucket_count(spark: SparkSession) -> int:
@@ -196,48 +210,97 @@ def sample_ids(ids: DataFrame, id_col: str, most: int) -> DataFrame:
     return thin.orderBy(F.pmod(h, F.lit(space)), id_col).limit(most)
 
 
-def _local_roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Union-find over the edges of one partition: an edge from every node to its root."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        root = x
-        while (p := parent.get(root, root)) != root:
-            root = p
-        while (p := parent.get(x, x)) != root and p != x:
-            parent[x], x = root, p
-        return root
-
-    for pdf in batches:
-        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
-            ra, rb = find(a), find(b)
-            parent.setdefault(a, ra), parent.setdefault(b, rb)
-            if ra != rb:
-                parent[max(ra, rb)] = min(ra, rb)
-    nodes = [x for x in parent if find(x) != x]
-    yield pd.DataFrame({"a": np.array(nodes, dtype=np.int64), "b": np.array([find(x) for x in nodes], dtype=np.int64)})
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """``node, component`` (its smallest node) of all nodes of ``edges(a, b)`` but isolated ones and the roots themselves.
-
-    Each round runs union-find inside every partition, links the neighbours of
-    a node to the smallest of them and jumps pointers; edges only shrink, and
-    the depth of a chain at least halves. No task or driver holds all edges.
+def hook(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Union-find on positions: hook the roots of both ends to the smaller until all links agree."""
+    while len(a):
+        ra, rb = parent[a], parent[b]
+        open_ = ra != rb
+        a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
+        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
+        while True:  # flatten
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent[:] = up
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node that is not the smallest of its component, and that smallest node."""
+    ids, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parent = np.arange(len(ids))
+    hook(parent, code[: len(a)], code[len(a) :])
+    child = np.flatnonzero(parent != np.arange(len(ids)))
+    return ids[child], ids[parent[child]]
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, nodes) unite the nodes with the anchor; the forest of a partition, in pieces of bounded size."""
+    out = lambda a, b: pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    held, size = [(np.empty(0, np.int64), np.empty(0, np.int64))], 0
+    for batch in batches:
+        nodes = batch.column("nodes")
+        n = np.diff(nodes.offsets.to_numpy())
+        held.append((np.repeat(batch.column("anchor").to_numpy(), n), nodes.flatten().to_numpy()))
+        size += int(n.sum())
+        if size > FOREST_EDGES:
+            held = [forest(*map(np.concatenate, zip(*held, strict=True)))]
+            size = len(held[0][0])
+            if size > FOREST_EDGES // 2:
+                yield out(*held[0])
+                held, size = [(np.empty(0, np.int64), np.empty(0, np.int64))], 0
+    yield out(*forest(*map(np.concatenate, zip(*held, strict=True))))
+
+
+def lookup(rows: DataFrame, key: str | list[str], table: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """Left join with ``table``, unique by ``key``, where one key may hold a third of ``rows``.
+
+    A table of at most ``BROADCAST_ROWS`` rows is broadcast. Of a larger one only the
+    entries of ``hot`` keys are (those that hold a thousandth of the rows, so at most a
+    thousand; counted here if not given); the other rows are joined by shuffle.
+    ``rows`` should be cheap to read several times.
+    """
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), key, "left")
+    if hot is None:
+        keys = [key] if isinstance(key, str) else key
+        hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= max(2, rows.count() // HOT_KEYS)).select(*keys)
+    hot = F.broadcast(materialise(hot))
+    many = rows.join(hot, key, "left_semi").join(F.broadcast(table.join(hot, key, "left_semi")), key, "left")
+    return many.unionByName(rows.join(hot, key, "left_anti").join(table, key, "left"))
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """``node, component`` (its smallest node) of all nodes of ``edges(a, b)`` but isolated ones and the components' smallest.
+
+    A round runs union-find inside every partition, so that a node keeps at most one
+    edge a partition, and gathers each node's lower neighbours (a root is summed map-side,
+    however many nodes hang on it). Nodes below no other leave the graph with their
+    smallest neighbour as pointer, after linking their other neighbours to it; nodes in
+    the middle of a chain jump over their neighbour, so chains halve. Pointers are followed back
+    at the end, one lookup a round. No task or driver holds all edges.
     """
-    links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    links = materialise(links.mapInPandas(_local_roots, "a long, b long"))
-    for _ in range(max_rounds):
-        low = links.groupBy("a").agg(F.min("b").alias("m"))
-        hooked = links.join(low, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        # salted: the neighbours of one root may be a third of all nodes
-        above = low.select(F.col("a").alias("m"), F.col("m").alias("mm"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        dealt = low.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
-        jumped = dealt.join(above, ["m", "salt"], "left").select("a", F.coalesce("mm", "m").alias("b"))
-        links = materialise(jumped.unionByName(hooked).distinct())
-        inner = links.select(F.col("a").alias("b"))
-        left = links.join(inner, "b", "left_semi").limit(1).count()
-        many = 0 if left else links.groupBy("a").agg(F.count_distinct("b").alias("n")).where("n > 1").limit(1).count()
-        if not left and not many:
-            return links.distinct().select(F.col("a").alias("node"), F.col("b").alias("component"))
-    raise RuntimeError(f"components did not converge in {max_rounds} rounds")
+    pairs = edges.select(F.col("a").alias("anchor"), F.array("b").alias("nodes"))
+    links, levels = materialise(pairs.mapInArrow(_forests, "a long, b long")), []
+    while True:
+        ends = links.select(F.col("a").alias("node"), F.col("b").alias("low"))
+        ends = ends.unionByName(links.select(F.col("b").alias("node"), F.lit(None).cast("bigint").alias("low")))
+        state = ends.groupBy("node").agg(F.min("low").alias("component"), F.collect_set("low").alias("lows"), F.max(F.isnull("low")).alias("above"))
+        state = materialise(state.where("component is not null"))
+        discard(links)
+        levels.append(state.where("not above").select("node", "component"))
+        middle = state.where("above")
+        n = state.agg(F.count_if("above").alias("middle"), F.count_if(F.col("above") | (F.size("lows") > 1)).alias("open")).first()
+        if not n["open"]:
+            break
+        unite = state.where(F.size("lows") > 1).select(F.col("component").alias("anchor"), F.col("lows").alias("nodes"))
+        if n["middle"]:
+            up = middle.select(F.col("node").alias("component"), F.col("component").alias("top"))
+            jumps = lookup(middle.select("node", "component"), "component", up)
+            unite = unite.unionByName(jumps.select(F.coalesce("top", "component").alias("anchor"), F.array("node").alias("nodes")))
+        links = materialise(unite.mapInArrow(_forests, "a long, b long"))
+    found = levels.pop()
+    while levels:
+        up = found.select(F.col("node").alias("component"), F.col("component").alias("top"))
+        below = lookup(levels.pop(), "component", up).select("node", F.coalesce("top", "component").alias("component"))
+        found = materialise(below.unionByName(found))
+    return found

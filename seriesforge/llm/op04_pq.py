@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesforge.llm.common import connected_components, materialise, sample_ids
+from seriesforge.llm.common import connected_components, hook, materialise, sample_ids
 
 THRESHOLD = 0.9
 SAMPLE, SUBSPACES, CODES, PROBES = 16_384, 8, 256, 8
@@ -171,27 +171,13 @@ def _search(index, threshold: float):
             np.add.at(n, qi[a], m["mult"][b])
             back = ~finds[b, q["list"][a]]
             np.add.at(n, mi[b[back]], q["mult"][a[back]])
-            _union(parent, qi[a], mi[b])
+            hook(parent, qi[a], mi[b])
         hit = np.flatnonzero((n > 0) | (parent != np.arange(len(ids))))
         return pd.DataFrame({"vec_id": ids[hit], "n": n[hit], "root": ids[parent[hit]]})
 
     return run
 
 
-def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Hook the roots of both ends to the smaller until all links agree."""
-    while len(a):
-        ra, rb = parent[a], parent[b]
-        open_ = ra != rb
-        a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
-        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
-        while True:  # flatten
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent[:] = up
-
-
 def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, probes: int = PROBES, sample: int = SAMPLE, lists: int | None = None
 ) -> DataFrame:

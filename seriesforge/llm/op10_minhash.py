@@ -7,16 +7,20 @@
    of the slots and offers rank j + r_j to the j-th of them; a slot keeps the
    lowest offer. Elements go through j = 0, 1, ... together and a text stops as
    soon as every slot holds a rank below j + 1, which later levels cannot beat.
-3. Band hashes collect candidate families; within a family, blocks of bounded
-   size compare full sets by a sparse matrix product. Families beyond one block
+3. Band hashes collect candidate families: a task unites its texts of equal band
+   hash and sends one root a hash, so a hash that a third of all texts share is one
+   row a task, and roots that meet under a hash are united. Within a family, blocks
+   of bounded shingles compare full sets by a sparse matrix product. Families beyond one block
    are compared by block representatives first; then every pair of different
    blocks that still lies in different components is compared, so no link between
    components is lost, and members already linked are not compared again.
 4. Links are grouped by distributed union-find.
 
 Nulls and texts without words have an empty set, link with nothing and are kept.
-Ties do not matter: the component is the smallest id. Repeated ids keep one row
-each. Extra columns are ignored.
+Ties do not matter: the component is the smallest id. Rows that share an id are one
+document to the links (it links where any of its texts does) and keep one row each.
+A text without an id links with nothing, has no component and is kept; an empty table gives an empty
+result. Long texts are worked on whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,14 +30,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesforge.llm.common import U64, Words, connected_components, materialise, mix, shingle_sets, small_text_batches, steps
+from seriesforge.llm.common import HOT_KEYS, U64, Words, connected_components, discard, forest, lookup, materialise, mix, shingle_sets, small_text_batches, steps
 
 BANDS, ROWS = 32, 8
-#: Sets that one comparison task holds on each side.
-BLOCK = 256
+#: Sets, and shingles on average, that one comparison task holds on each side.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Texts whose band hashes a task unites at a time.
+BAND_TEXTS = 50_000
 #: Shingles that a comparison holds at a time.
 SLICE = 1 << 19
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -91,9 +97,9 @@ def _sketch(bands: int, rows: int, size: int):
                 h, offs = shingle_sets(Words(b.column("text")), size)
                 n = np.diff(offs)
                 sig = superminhash(h, offs, bands * rows)
-                bh = np.zeros((len(n), bands), dtype=np.uint64)
+                bh, slot = np.zeros((len(n), bands), dtype=np.uint64), np.arange(bands, dtype=np.uint64) << U64(40)
                 for r in range(rows):
-                    bh = mix(bh * U64(31) + sig[:, r::rows] + U64(r + 1))
+                    bh = mix(bh * U64(31) + sig[:, r::rows] + U64(r + 1) + slot)
                 sums = lambda v: np.diff(np.concatenate([[U64(0)], np.cumsum(v, dtype=np.uint64)])[offs])
                 flat = pa.array(_signed(bh).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(n) + 1, bands, dtype=np.int32)), flat)
@@ -103,6 +109,37 @@ def _sketch(bands: int, rows: int, size: int):
     return run
 
 
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, node): nodes under one h belong to one family; of the texts of a chunk only a root meets others."""
+
+    def flush(rep: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        node = np.repeat(rep, h.shape[1])
+        h = h.ravel()
+        order = np.argsort(h, kind="stable")
+        h, node = h[order], node[order]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        head = np.repeat(node[first], np.diff(np.append(first, len(h))))
+        child, root = forest(node, head)
+        top = node[first]
+        at = np.minimum(np.searchsorted(child, top), max(len(child) - 1, 0))
+        if len(child):
+            top = np.where(child[at] == top, root[at], top)
+        own = _signed(mix(child.view(np.uint64) ^ U64(0x5EED)))  # a child meets its root under a hash of their own
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[first], own, own])), pa.array(np.concatenate([top, child, root]))], names=["h", "node"])
+
+    reps, hashes, size = [], [], 0
+    for b in batches:
+        if b.num_rows:
+            bands = b.column("bands")
+            reps.append(b.column("rep").to_numpy()), hashes.append(bands.flatten().to_numpy().reshape(b.num_rows, -1))
+            size += b.num_rows
+        if size >= BAND_TEXTS:
+            yield flush(np.concatenate(reps), np.vstack(hashes))
+            reps, hashes, size = [], [], 0
+    if size:
+        yield flush(np.concatenate(reps), np.vstack(hashes))
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -187,23 +224,28 @@ def near_duplicates(
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     base = materialise(src.mapInArrow(_sketch(bands, rows, size), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"))
     same = base.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles")
-    reps = materialise(same.agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-    keys = reps.select("rep", F.posexplode("bands").alias("band", "h"))
-    lead = keys.groupBy("band", "h").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = keys.join(lead, ["band", "h"]).where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-    families = connected_components(edges)
-    heads = families.select(F.col("component").alias("doc_id"), F.col("component").alias("family")).distinct()
-    members = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")).unionByName(heads)
-    sizes = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    members = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    members = materialise(members)
+    reps = materialise(same.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
+    met = reps.where("rep is not null").select("rep", "bands").mapInArrow(_meetings, "h long, node long")
+    met = met.withColumn("low", F.min("node").over(Window.partitionBy("h"))).where("node <> low")
+    families = materialise(connected_components(met.select(F.col("node").alias("a"), F.col("low").alias("b"))))
+    heads = families.select(F.col("component").alias("rep"), F.col("component").alias("family")).distinct()
+    members = families.select(F.col("node").alias("rep"), F.col("component").alias("family")).unionByName(heads)
+    members = materialise(reps.select("rep", "n_shingles").join(members, "rep"))
+    need = F.greatest(F.count(F.lit(1)) / block, F.sum("n_shingles") / BLOCK_SHINGLES)
+    large = members.groupBy("family").agg(F.ceil(need).cast("int").alias("blocks")).where("blocks > 1")
+    members = lookup(members.select("rep", "family").distinct(), "family", materialise(large))
+    members = members.select(F.col("rep").alias("doc_id"), "family", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    members = materialise(members.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
     sets = materialise(src.join(members.select("doc_id"), "doc_id").mapInArrow(_sets(size), "doc_id long, shingles binary"))
     links = _family_links(members, sets, num, den, block)
+    discard(members, sets)
     comp = connected_components(links).withColumnRenamed("node", "rep").withColumnRenamed("component", "root")
-    groups = reps.select("d1", "d2", "n_shingles", "rep").join(comp, "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("root", "rep").alias("found"))
-    out = base.select("doc_id", "d1", "d2", "n_shingles").join(groups, ["d1", "d2", "n_shingles"], "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("component_id") == F.col("doc_id"))
+    text = ["d1", "d2", "n_shingles"]
+    hot = reps.where(F.col("copies") >= max(2, base.count() // HOT_KEYS)).select(text)  # one text may be a third of all rows
+    groups = materialise(reps.select(*text, "rep").join(comp, "rep", "left").select(*text, F.coalesce("root", "rep").alias("found")))
+    out = lookup(base.select("doc_id", *text), text, groups, hot)
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
 def _family_links(members: DataFrame, sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
@@ -225,20 +267,20 @@ def _family_links(members: DataFrame, sets: DataFrame, num: int, den: int, block
     if not big.limit(1).count():
         return links
     # representatives of block components, regrouped into fresh blocks, merge most of a large family
+    count = lambda df, name: materialise(df.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name)))
     for salt in range(2):
-        reps = _relabel(big, links).where("doc_id = component").drop("block")
-        n = reps.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("m"))
-        mixed = reps.join(n, "family").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(salt + 1)), F.col("m")).cast("int"))
+        reps = materialise(_relabel(big, links).where("doc_id = component").drop("block"))
+        mixed = lookup(reps, "family", count(reps, "m")).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(salt + 1)), F.col("m")).cast("int"))
         links = links.unionByName(compare(side(mixed, 0), "family", "block"))
     # the rest: every component but a family's largest against all other blocks
     nodes = materialise(_relabel(big, links))
     by = nodes.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
     top = by.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_ = nodes.join(top, "family")
-    rest = open_.where("component <> top")
-    chunks = rest.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks"))
-    rest = rest.join(chunks, "family").withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.col("chunks")).cast("int"))
-    left = open_.join(chunks, "family").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    open_ = materialise(lookup(nodes, "family", materialise(top)).where("top is not null"))
+    chunks = count(open_.where("component <> top"), "chunks")
+    open_ = materialise(lookup(open_, "family", chunks))
+    rest = open_.where("component <> top").withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.col("chunks")).cast("int"))
+    left = open_.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     right = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cols = ["family", "block", "chunk", "doc_id", "component"]
     pairs = side(left.select(cols), 0).unionByName(side(right.select(cols), 1))
