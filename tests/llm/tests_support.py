@@ -3,8 +3,8 @@
 from test_dedup import brute_near
 
 
-def brute_near_kept(rows):
-    return {i for i, v in brute_near(list(rows.items())).items() if v[2]}
+def brute_near_kept(rows, num=80):
+    return {i for i, v in brute_near(list(rows.items()), num).items() if v[2]}
 
 
 def brute_suffix_texts(rows, depth=100):
