@@ -14,19 +14,23 @@ in which resolved suffixes drop out:
   the run's whole byte span refines the anchor's bucket. A span that occurs
   earlier resolves all windows of its run; an anchor bucket of one suffix, or of
   one span, is final.
-* Depth 80 and 100. For the first occurrence of each span in a bucket of several
-  spans, the bytes travel to the bucket and identifiers are refined recursively:
-  depth 40 from 20 and 20 later, 80 from 40 and 40 later, 100 from 80 and 20 later.
-  Sorting on the final identifier and (id, start) leaves the earliest window of
-  each bucket and resolves the others.
+* Depth 100. For the first occurrence of each span in a bucket of several spans,
+  the bytes travel to the bucket. There buckets are exact: 8-gram buckets are
+  refined by sorting pairs (own bucket, bucket of the suffix as many bytes on as is
+  known), 8 to 16, 32, 64, and last 100 by the one 36 bytes on; every refinement uses the
+  buckets that the one before left, and suffixes alone in their bucket drop out. Of each
+  final bucket the earliest window stays and the others are resolved.
 
 Buckets are pre-aggregated in each task: of equal spans only the earliest is
 sent, and a bucket that is known to hold several spans sends one witness. Hence a
-passage in a third of all texts sends one row a task. Identifiers are 64-bit
-fingerprints; buckets of the last rounds compare within one anchor bucket only.
-
-Null texts are empty. Texts under 100 bytes are never cut. Two rows that share
-an id and hold equal text do not remove each other. Extra columns are ignored.
+passage in a third of all texts sends one row a task. Identifiers before the last
+refinement are 64-bit fingerprints (of a span together with its anchor); the number
+of buckets follows the bytes of all texts.
+
+Null texts are empty. Texts under 100 bytes are never cut. Long texts are worked on whole.
+Rows that share an id have no order among them: they do not cut each other, whether
+their texts are equal or not, and each is cut on its own. Texts without an id stay
+uncut and cut no other. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,14 +45,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesforge.llm.common import U64, bucket_count, mix, powers, prefix_hash, small_text_batches, steps, text_buffer
+from seriesforge.llm.common import U64, bucket_count, lookup, materialise, mix, powers, prefix_hash, small_text_batches, steps, text_buffer
 
 DEPTH, Q = 100, 20
 GRAM = 2 * Q
 CHOICES = DEPTH - GRAM + 1  # anchors that a window can choose from
 #: Anchors that a task gathers before it sends them on.
 FLUSH = 3_000_000
-_RUN, _BUCKET = 8, 20  # bits in a packed range
+_RUN, _BUCKET = 8, 22  # bits in a packed range
+#: Text bytes whose anchors one bucket holds on average.
+BUCKET_BYTES = 8 << 20
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -116,17 +122,46 @@ def unpack(blob: bytes) -> dict[str, np.ndarray]:
     return {k: table.column(k).to_numpy() for k in table.column_names}
 
 
-def resolve(key: np.ndarray, span: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Order by (key, span, doc, lo); in that order: starts a key, earliest of its span, strictly later than the earliest."""
-    order = np.lexsort((lo, doc, span, key))
-    k, s, d, p = key[order], span[order], doc[order], lo[order]
+def resolve(key: np.ndarray, span: np.ndarray, doc: np.ndarray, row: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Order by (key, span, doc, row, lo); in that order: starts a key, earliest of its span, later than another, first of its span and row.
+
+    Later is what has its span in a smaller doc, or earlier in its own row.
+    """
+    order = np.lexsort((lo, row, doc, span, key))
+    k, s, d, w, p = key[order], span[order], doc[order], row[order], lo[order]
     newk = np.ones(len(k), dtype=bool)
     newk[1:] = k[1:] != k[:-1]
     news = newk.copy()
     news[1:] |= s[1:] != s[:-1]
-    head = np.maximum.accumulate(np.where(news, np.arange(len(k)), 0))
-    later = (d != d[head]) | (p != p[head])
-    return order, newk, news, later
+    neww = news.copy()
+    neww[1:] |= (d[1:] != d[:-1]) | (w[1:] != w[:-1])
+    at = np.arange(len(k))
+    head, own = (np.maximum.accumulate(np.where(new, at, 0)) for new in (news, neww))
+    return order, newk, news, (d != d[head]) | (p != p[own]), own
+
+
+def refined(data: np.ndarray) -> np.ndarray:
+    """Buckets of equal ``DEPTH``-byte strings at all positions of ``data`` that have so many bytes, exact.
+
+    Equal buckets, equal strings; a suffix alone in its bucket gets a number of its own.
+    """
+    n = len(data) - DEPTH + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view(np.uint64).ravel()
+    _, bucket, size = np.unique(words, return_inverse=True, return_counts=True)
+    shared, depth = size[bucket] > 1, 8
+    while depth < DEPTH:
+        later = min(depth, DEPTH - depth)
+        m = len(bucket) - later
+        shared, open_ = shared[:m], np.flatnonzero(shared[:m])
+        top = int(bucket.max()) + 1
+        pair = bucket[open_].astype(np.uint64) * U64(top) + bucket[open_ + later].astype(np.uint64)
+        _, to, size = np.unique(pair, return_inverse=True, return_counts=True)
+        bucket = len(size) + np.arange(m)
+        bucket[open_], shared[open_] = to, size[to] > 1
+        depth += later
+    return bucket[:n]
 
 
 def _per_key(newk: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -158,7 +193,7 @@ def _send_anchors(buckets: int):
 
     def flush(got: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         c = {k: np.concatenate([g[k] for g in got]) for k in got[0]}
-        order, newk, news, later = resolve(c["anchor"], c["span"], c["doc"], c["lo"])
+        order, newk, news, later, _ = resolve(c["anchor"], c["span"], c["doc"], c["row"], c["lo"])
         c = {k: v[order] for k, v in c.items()}
         several = _per_key(newk, news.astype(float)) > 1
         bucket = (c["anchor"] % U64(buckets)).astype(np.int64)
@@ -169,11 +204,11 @@ def _send_anchors(buckets: int):
         done = later & ~news
         known = done | check
         out = []
-        for b, v in _split(bucket[known], {"doc": c["doc"][known], "r": ranges(c["lo"], bucket, c["run"], np.where(check, CHECK, FULL))[known]}):
+        for b, v in _split(bucket[known], {"doc": c["doc"][known], "row": c["row"][known], "r": ranges(c["lo"], bucket, c["run"], np.where(check, CHECK, FULL))[known]}):
             out.append((b, 0, pack(**v)))
         send = own | witness
         blank = np.where(witness, np.int64(-1), c["lo"])
-        cols = {"doc": c["doc"][send], "lo": blank[send], "run": c["run"][send].astype(np.uint8)}
+        cols = {"doc": c["doc"][send], "row": c["row"][send], "lo": blank[send], "run": c["run"][send].astype(np.uint8)}
         h = short[send]
         cols |= {"span": c["span"][send], "high": (h >> U64(32)).astype(np.uint8), "low": h.astype(np.uint32)}
         place = np.lexsort((cols["lo"], cols["doc"]))
@@ -188,6 +223,7 @@ def _send_anchors(buckets: int):
             for b in steps(whole):
                 data, offs = text_buffer(b.column("text"))
                 a = anchors(data, offs)
+                a["row"] = b.column("row").to_numpy()[a["doc"]]
                 a["doc"] = b.column("doc_id").to_numpy()[a["doc"]]
                 got.append(a)
                 n += len(a["lo"])
@@ -206,32 +242,32 @@ _BLOBS = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("blob", pa.bi
 def _join_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
     """Round 1, bucket side: ranges of texts that are resolved or need depth 100."""
     bucket = int(pdf["bucket"].iloc[0])
-    docs, out, got = [], [], []
+    docs, rows, out, got = [], [], [], []
     for kind, blob in zip(pdf["kind"], pdf["blob"], strict=True):
         v = unpack(blob)
         if kind == 0:
-            docs.append(v["doc"]), out.append(v["r"])
+            docs.append(v["doc"]), rows.append(v["row"]), out.append(v["r"])
         else:
             v["doc"] = np.cumsum(v.pop("doc_delta"))
             got.append(v)
     if got:
         c = {k: np.concatenate([g[k] for g in got]) for k in got[0]}
         key = (c["high"].astype(np.uint64) << U64(32)) | c["low"]
-        order, newk, news, later = resolve(key, c["span"], c["doc"], c["lo"])
+        order, newk, news, later, own = resolve(key, c["span"], c["doc"], c["row"], c["lo"])
         lo, doc, run = c["lo"][order], c["doc"][order], c["run"][order].astype(np.int64)
         witness = lo < 0
         several = (_per_key(newk, (news & ~witness).astype(float)) > 1) | (_per_key(newk, witness.astype(float)) > 0)
         done = later & ~news & ~witness
         # a witness may stand first in its span; then the rest of the span is checked instead
         head = np.maximum.accumulate(np.where(news, np.arange(len(news)), 0))
-        done &= ~witness[head]
+        done &= ~witness[head] & ~witness[own]
         check = several & ~done & ~witness
         known = done | check
-        docs.append(doc[known])
+        docs.append(doc[known]), rows.append(c["row"][order][known])
         out.append(ranges(lo, np.int64(bucket), run, np.where(check, CHECK, FULL))[known])
     if not docs:
-        return pd.DataFrame({"doc_id": np.empty(0, np.int64), "r": np.empty(0, np.int64)})
-    return pd.DataFrame({"doc_id": np.concatenate(docs), "r": np.concatenate(out)})
+        return pd.DataFrame({"doc_id": [], "row": [], "r": []}, dtype="int64")
+    return pd.DataFrame({"doc_id": np.concatenate(docs), "row": np.concatenate(rows), "r": np.concatenate(out)})
 
 
 def _send_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,29 +278,30 @@ def _send_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> Iterator[pa.RecordBatch]:
         rows = []
         for b, v in held.items():
-            doc, r, body = zip(*v, strict=True)
-            rows.append((b, 1, pack(doc=np.array(doc), r=np.array(r), body=np.array([b"".join(body)] + [b""] * (len(doc) - 1), dtype=object))))
+            doc, row, r, body = zip(*v, strict=True)
+            rows.append((b, 1, pack(doc=np.array(doc), row=np.array(row), r=np.array(r), body=np.array([b"".join(body)] + [b""] * (len(doc) - 1), dtype=object))))
         held.clear()
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=_BLOBS.names).cast(_BLOBS)
 
     for batch in batches:
         keep = []
-        for doc, text, rs in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("rs"), strict=True):
+        for doc, row, text, rs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row")), batch.column("text"), batch.column("rs"), strict=True):
             r = rs.values.to_numpy()
             check = (r & 1) == CHECK
             if not check.all():
-                keep.append((doc, r[~check]))
+                keep.append((doc, row, r[~check]))
             if not check.any():
                 continue
             raw = text.as_buffer().to_pybytes()
             r = r[check]
             lo, bucket, run = r >> (_BUCKET + _RUN + 1), (r >> (_RUN + 1)) & ((1 << _BUCKET) - 1), (r >> 1) & ((1 << _RUN) - 1)
             for x, b, a, n in zip(r.tolist(), bucket.tolist(), lo.tolist(), run.tolist(), strict=True):
-                held.setdefault(b, []).append((doc, x, raw[a : a + n + DEPTH]))
+                held.setdefault(b, []).append((doc, row, x, raw[a : a + n + DEPTH]))
                 size += n + DEPTH
         if keep:
-            blob = pack(doc=np.repeat([k[0] for k in keep], [len(k[1]) for k in keep]), r=np.concatenate([k[1] for k in keep]))
+            doc, row, r = zip(*keep, strict=True)
+            blob = pack(**{k: np.repeat(v, [len(x) for x in r]) for k, v in (("doc", doc), ("row", row))}, r=np.concatenate(r))
             yield pa.RecordBatch.from_arrays([pa.array([keep[0][0] % 997]), pa.array([0]), pa.array([blob])], names=_BLOBS.names).cast(_BLOBS)
         if size > 64 << 20:
             yield from flush()
@@ -274,37 +311,36 @@ def _send_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _join_spans(pdf: pd.DataFrame) -> pd.DataFrame:
     """Round 2, bucket side: refine to depth 100 and keep the earliest window of each bucket."""
-    docs, los, his = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    doc, r, body = [], [], []
+    none = np.empty(0, np.int64)
+    docs, rows, los, his = [none], [none], [none], [none]
+    doc, row, r, body = [], [], [], []
     for kind, blob in zip(pdf["kind"], pdf["blob"], strict=True):
         v = unpack(blob)
         if kind == 0:
             lo = v["r"] >> (_BUCKET + _RUN + 1)
-            docs.append(v["doc"]), los.append(lo), his.append(lo + ((v["r"] >> 1) & ((1 << _RUN) - 1)))
+            docs.append(v["doc"]), rows.append(v["row"]), los.append(lo), his.append(lo + ((v["r"] >> 1) & ((1 << _RUN) - 1)))
         else:
-            doc.append(v["doc"]), r.append(v["r"]), body.append(v["body"][0])
+            doc.append(v["doc"]), row.append(v["row"]), r.append(v["r"]), body.append(v["body"][0])
     if doc:
-        doc, r = np.concatenate(doc), np.concatenate(r)
+        doc, row, r = map(np.concatenate, (doc, row, r))
         lo, run = r >> (_BUCKET + _RUN + 1), (r >> 1) & ((1 << _RUN) - 1)
-        data = np.frombuffer(b"".join(body), dtype=np.uint8)
         at = np.cumsum(run + DEPTH) - (run + DEPTH)
-        i20 = gram_ids(prefix_hash(data))
-        i80 = refine(refine(i20, Q), GRAM)
-        i100 = refine(i80, DEPTH - 2 * GRAM)
         owner = np.repeat(np.arange(len(run)), run + 1)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(run + 1) - (run + 1), run + 1)
+        bucket = refined(np.frombuffer(b"".join(body), dtype=np.uint8))[at[owner] + within]
         start = lo[owner] + within
-        _, _, _, later = res = resolve(i100[at[owner] + within], np.zeros(len(owner), np.int8), doc[owner], start)
+        order, _, _, later, _ = resolve(bucket, np.zeros(len(owner), np.int8), doc[owner], row[owner], start)
         gone = np.zeros(len(owner), dtype=bool)
-        gone[res[0]] = later
-        d, s = doc[owner][gone], start[gone]
+        gone[order] = later
+        d, w, s = doc[owner][gone], row[owner][gone], start[gone]
         new = np.ones(len(d), dtype=bool)
-        new[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1)
+        new[1:] = (d[1:] != d[:-1]) | (w[1:] != w[:-1]) | (s[1:] != s[:-1] + 1)
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(d)) - 1
         if len(d):
-            docs.append(d[first]), los.append(s[first]), his.append(s[last])
-    return pd.DataFrame({"doc_id": np.concatenate(docs), "r": (np.concatenate(los) << 31) | (np.concatenate(his) - np.concatenate(los))})
+            docs.append(d[first]), rows.append(w[first]), los.append(s[first]), his.append(s[last])
+    lo = np.concatenate(los)
+    return pd.DataFrame({"doc_id": np.concatenate(docs), "row": np.concatenate(rows), "r": (lo << 31) | (np.concatenate(his) - lo)})
 
 
 def covered(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -318,19 +354,36 @@ def covered(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[first], end[np.append(first[1:], len(lo)) - 1]
 
 
-def repeated_ranges(src: DataFrame) -> DataFrame:
-    """``doc_id, rs``: packed start ranges of repeated windows, for texts that have any. ``src``: doc_id, text."""
-    buckets = min(4 * bucket_count(src.sparkSession), (1 << _BUCKET) - 1)
+#: What names a row: its id, and a digest of its text where several rows have the id.
+_ROW = ["doc_id", "row"]
+
+
+def repeated_ranges(src: DataFrame, n_bytes: int) -> DataFrame:
+    """``doc_id, row, rs``: packed start ranges of repeated windows, for texts that have any. ``src``: doc_id, row, text."""
+    src = src.where("doc_id is not null")
+    buckets = min(max(bucket_count(src.sparkSession), -(-n_bytes // BUCKET_BYTES)), (1 << _BUCKET) - 1)
     blobs = src.mapInArrow(_send_anchors(buckets), "bucket long, kind int, blob binary")
-    found = blobs.groupBy("bucket").applyInPandas(_join_anchors, "doc_id long, r long")
-    lists = found.groupBy("doc_id").agg(F.collect_list("r").alias("rs"))
-    spans = src.join(lists.hint("shuffle_hash"), "doc_id").mapInArrow(_send_spans, "bucket long, kind int, blob binary")
-    return spans.groupBy("bucket").applyInPandas(_join_spans, "doc_id long, r long").groupBy("doc_id").agg(F.collect_set("r").alias("rs"))
+    found = blobs.groupBy("bucket").applyInPandas(_join_anchors, "doc_id long, row long, r long")
+    lists = found.groupBy(*_ROW).agg(F.collect_list("r").alias("rs"))
+    spans = src.join(lists.hint("shuffle_hash"), _ROW).mapInArrow(_send_spans, "bucket long, kind int, blob binary")
+    return spans.groupBy("bucket").applyInPandas(_join_spans, "doc_id long, row long, r long").groupBy(*_ROW).agg(F.collect_set("r").alias("rs"))
 
 
-def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _named(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """``docs`` with columns _cut_id, _cut_row, _cut_text, and the bytes of all texts."""
     small_text_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    full = docs.withColumns({"_cut_id": F.col(id_col).cast("bigint"), "_cut_text": F.coalesce(F.col(text_col), F.lit(""))})
+    ids = full.groupBy("_cut_id").agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.octet_length("_cut_text")).alias("_bytes"))
+    ids = ids.groupBy((F.col("_rows") > 1).alias("several"), F.when(F.col("_rows") > 1, F.col("_cut_id")).alias("_cut_id")).agg(F.sum("_bytes").alias("_bytes"))
+    ids = materialise(ids)
+    twins = ids.where("several and _cut_id is not null").select("_cut_id", F.lit(True).alias("_cut_twin"))
+    n_bytes = ids.agg(F.sum("_bytes")).first()[0] or 0
+    full = lookup(full, "_cut_id", twins).withColumn("_cut_row", F.when(F.col("_cut_twin"), F.xxhash64("_cut_text")).otherwise(F.lit(0)))
+    return full.drop("_cut_twin"), n_bytes
+
+
+def _source(full: DataFrame) -> DataFrame:
+    return full.select(F.col("_cut_id").alias("doc_id"), F.col("_cut_row").alias("row"), F.col("_cut_text").alias("text"))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,17 +411,18 @@ def _cut(raw: bytes, rs: pa.Scalar) -> tuple[bytes, int, int]:
 
 def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document; texts without an id stay uncut and cut no other."""
-    src = _source(docs, id_col, text_col)
-    whole = src.join(repeated_ranges(src.where("doc_id is not null")).hint("shuffle_hash"), "doc_id", "left")
+    full, n_bytes = _named(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
+    src = _source(full)
+    whole = src.join(repeated_ranges(src, n_bytes).hint("shuffle_hash"), _ROW, "left")
     return whole.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated bytes cut from the text; pieces of a cut character go with it. Same columns. Texts without an id stay uncut."""
     schema = docs.schema
-    small_text_batches(docs.sparkSession)
-    ranges_of = repeated_ranges(_source(docs, id_col, text_col).where("doc_id is not null")).select(F.col("doc_id").alias("_cut_id"), F.col("rs").alias("_cut_ranges"))
-    joined = docs.join(ranges_of.hint("shuffle_hash"), docs[id_col] == F.col("_cut_id"), "left").drop("_cut_id")
+    full, n_bytes = _named(docs, id_col, text_col)
+    ranges_of = repeated_ranges(_source(full), n_bytes).select(F.col("doc_id").alias("_cut_id"), F.col("row").alias("_cut_row"), F.col("rs").alias("_cut_ranges"))
+    joined = full.join(ranges_of.hint("shuffle_hash"), ["_cut_id", "_cut_row"], "left").select(*docs.columns, "_cut_ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
