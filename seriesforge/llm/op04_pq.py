@@ -1,8 +1,10 @@
 """Embedding near-dedup by product quantisation.
 
 1. Equal vectors collapse to one row with a multiplicity (partial aggregate).
-2. A bounded sample (``SAMPLE`` smallest id hashes) trains coarse centroids and,
-   on residuals, a codebook for each of ``SUBSPACES`` subspaces.
+2. A bounded sample trains coarse centroids and, on residuals, a codebook for each of
+   ``SUBSPACES`` subspaces. Vectors of different lengths have no cosine, so every length has
+   centroids and codebooks of its own; the lengths share the sample (``SAMPLE`` in proportion,
+   ``LENGTH_SAMPLE`` at least) and all later steps.
 3. Every vector goes to the inverted list of its nearest centroid with its residual
    codes and the length of what the codes miss, and queries its ``PROBES``
    nearest lists.
@@ -16,9 +18,10 @@
    query, and to the member unless the member's own probes find it.
 6. Distributed union-find joins the local roots.
 
-Vectors that are null, zero, of another length than most, or hold null or
-non-finite components link with nothing. Repeated ids count as vectors of their
-own in ``n_links`` and give a row each. Labels and extra columns are ignored.
+Vectors that are null, zero, empty, or hold null or non-finite components link with
+nothing; so do vectors without an id, which have no component and are kept. A cosine of exactly the threshold links. Repeated ids count as vectors of their
+own in ``n_links`` and give a row each. An empty table gives an empty result. Labels and extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesforge.llm.common import connected_components, hook, materialise, sample_ids
+from seriesforge.llm.common import HOT_KEYS, connected_components, hook, lookup, materialise
 
 THRESHOLD = 0.9
 SAMPLE, SUBSPACES, CODES, PROBES = 16_384, 8, 256, 8
+LENGTH_SAMPLE, MOST_LISTS = 256, 1024
 MEMBERS, QUERIES = 2048, 2048
 
 
@@ -96,8 +100,7 @@ class Index:
         return codes, np.sqrt((rest * rest).sum(axis=1))
 
 
-def train(sample: np.ndarray, lists: int, seed: int = 11) -> Index:
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+def train(unit: np.ndarray, lists: int, seed: int = 11) -> Index:
     coarse = apart(kmeans(unit, lists, 8, seed))
     rest = unit - coarse[nearest(unit, coarse, 1)[:, 0]]
     cuts = np.linspace(0, unit.shape[1], min(SUBSPACES, unit.shape[1]) + 1).astype(int)
@@ -105,27 +108,49 @@ def train(sample: np.ndarray, lists: int, seed: int = 11) -> Index:
     return Index(coarse, books, cuts)
 
 
+@dataclass
+class Indexes:
+    """An index a vector length; lists are numbered through."""
+
+    by_length: dict[int, Index]
+
+    def __post_init__(self) -> None:
+        self.lengths = sorted(self.by_length)
+        self.first = np.cumsum([0, *(len(self.by_length[d].coarse) for d in self.lengths)])
+
+    def of_list(self, number: int) -> tuple[Index, int]:
+        """The index of a list and the number of its first list."""
+        k = int(np.searchsorted(self.first, number, side="right")) - 1
+        return self.by_length[self.lengths[k]], int(self.first[k])
+
+
 def _stack(blobs, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), dtype=np.float64).reshape(-1, dim)
 
 
-def _assign(index, probes: int):
+def _unit(x: np.ndarray) -> np.ndarray:
+    # scaled first, so that squares of tiny or huge components stay finite
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _assign(indexes, probes: int):
     names = ["vec_id", "mult", "v", "list", "codes", "miss", "probes"]
+    blob = lambda m: pa.array([r.tobytes() for r in m], pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = index.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = np.vstack([r.values.to_numpy() for r in b.column("embedding")]).astype(np.float64)
-            # scaled first, so that squares of tiny or huge components stay finite
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-            near = nearest(unit, ix.coarse, probes)
-            codes, miss = ix.encode(unit, near[:, 0])
-            blob = lambda m: pa.array([r.tobytes() for r in m], pa.binary())
-            cols = [b.column("vec_id"), b.column("mult"), blob(unit), pa.array(near[:, 0].astype(np.int32)), blob(codes), pa.array(miss), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+        found = indexes.value
+        for batch in batches:
+            lengths = np.diff(batch.column("embedding").offsets.to_numpy())
+            for dim in np.unique(lengths):
+                b = batch.filter(pa.array(lengths == dim))
+                ix, first = found.by_length[int(dim)], found.first[found.lengths.index(int(dim))]
+                unit = _unit(b.column("embedding").flatten().to_numpy().reshape(-1, dim))
+                near = nearest(unit, ix.coarse, probes)
+                codes, miss = ix.encode(unit, near[:, 0])
+                near = (near + first).astype(np.int32)
+                cols = [b.column("vec_id"), b.column("mult"), blob(unit), pa.array(near[:, 0]), blob(codes), pa.array(miss), pa.array(near.tolist(), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
@@ -148,7 +173,8 @@ def block_links(ix: Index, home: int, q: dict[str, np.ndarray], m: dict[str, np.
 
 def _search(index, threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ix, home = index.value, int(pdf["at"].iloc[0])
+        home = int(pdf["at"].iloc[0])
+        ix, first = index.value.of_list(home)
         side = pdf["side"].to_numpy()
 
         def part(s: int) -> dict[str, np.ndarray]:
@@ -161,15 +187,15 @@ def _search(index, threshold: float):
         m["codes"] = np.frombuffer(b"".join(m["p"]["codes"]), dtype=np.uint8).reshape(len(m["id"]), -1)
         m["miss"] = m["p"]["miss"].to_numpy()
         finds = np.zeros((len(m["id"]), len(ix.coarse)), dtype=bool)  # lists that a member queries itself
-        finds[np.repeat(np.arange(len(m["id"])), [len(x) for x in m["probes"]]), np.concatenate(list(m["probes"]))] = True
+        finds[np.repeat(np.arange(len(m["id"])), [len(x) for x in m["probes"]]), np.concatenate(list(m["probes"])) - first] = True
         ids = np.unique(np.concatenate([q["id"], m["id"]]))
         qi, mi = np.searchsorted(ids, q["id"]), np.searchsorted(ids, m["id"])
         n, parent = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
-        for a, b in block_links(ix, home, q, m, threshold):
+        for a, b in block_links(ix, home - first, q, m, threshold):
             other = q["id"][a] != m["id"][b]
             a, b = a[other], b[other]
             np.add.at(n, qi[a], m["mult"][b])
-            back = ~finds[b, q["list"][a]]
+            back = ~finds[b, q["list"][a] - first]
             np.add.at(n, mi[b[back]], q["mult"][a[back]])
             hook(parent, qi[a], mi[b])
         hit = np.flatnonzero((n > 0) | (parent != np.arange(len(ids))))
@@ -178,6 +204,28 @@ def _search(index, threshold: float):
     return run
 
 
+def train_lengths(reps: DataFrame, sample: int, lists: int | None) -> Indexes:
+    """An index for every vector length of ``reps(embedding)``, from a sample of bounded size."""
+    dim = F.size("embedding").alias("dim")
+    sizes = {r["dim"]: r["count"] for r in reps.groupBy(dim).count().collect()}
+    total = sum(sizes.values())
+    want = {d: min(n, max(LENGTH_SAMPLE, sample * n // total)) for d, n in sizes.items()}
+    space = 1 << 40  # a hash threshold a length thins the rows where they are read; the smallest hashes decide
+    share = [(d, min(space, int(space * 1.3 * (want[d] + 100) / n))) for d, n in sizes.items()]
+    if not share:
+        return Indexes({})
+    thin = reps.select(dim, "vec_id", "embedding", F.pmod(F.xxhash64("vec_id", F.lit(17)), F.lit(space)).alias("h"))
+    thin = thin.join(F.broadcast(reps.sparkSession.createDataFrame(share, "dim int, most long")), "dim").where("h < most")
+    got = thin.select("dim", "h", "vec_id", "embedding").toArrow().combine_chunks()
+    dims, order = got.column("dim").to_numpy(), np.lexsort((got.column("vec_id").to_numpy(), got.column("h").to_numpy()))
+    out = {}
+    for d, n in sizes.items():
+        pick = order[dims[order] == d][: want[d]]
+        x = got.column("embedding").combine_chunks().take(pa.array(pick)).flatten().to_numpy().reshape(-1, d)
+        out[d] = train(_unit(x), lists or int(np.clip(4 * np.sqrt(n), 1, MOST_LISTS)))
+    return Indexes(out)
+
+
 def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, probes: int = PROBES, sample: int = SAMPLE, lists: int | None = None
 ) -> DataFrame:
@@ -185,21 +233,17 @@ def near_duplicates(
     spark = vectors.sparkSession
     src = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("embedding"))
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
-    clean = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.coalesce(F.exists("embedding", bad), F.lit(True)) & F.exists("embedding", lambda v: v != 0)
+    clean = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.coalesce(F.exists("embedding", bad), F.lit(True)) & F.exists("embedding", lambda v: v != 0)
     keyed = src.withColumn("ok", F.coalesce(clean, F.lit(False))).withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.xxhash64("embedding", F.lit(7)))
-    usual = keyed.where("ok").groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if usual is None:
-        return keyed.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    keyed = keyed.withColumn("ok", F.col("ok") & (F.size("embedding") == usual["dim"]))
     reps = materialise(keyed.where("ok").groupBy("k1", "k2").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("mult"), F.first("embedding").alias("embedding")))
-    picked = sample_ids(reps.select("vec_id"), "vec_id", sample)  # at most `sample` ids to broadcast
-    rows = reps.join(F.broadcast(picked), "vec_id").orderBy("vec_id").select("embedding").collect()
-    count = reps.count()
-    n = lists or int(np.clip(4 * np.sqrt(count), 1, 1024))
-    index = spark.sparkContext.broadcast(train(np.array([r[0] for r in rows], dtype=np.float64), n))
+    indexes = train_lengths(reps, sample, lists)
+    alone = keyed.select("ok", "vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    if not indexes.lengths:
+        return alone.drop("ok").withColumn("kept", F.lit(True))
+    index = spark.sparkContext.broadcast(indexes)
     schema = "vec_id long, mult long, v binary, list int, codes binary, miss double, probes array<int>"
     placed = materialise(reps.select("vec_id", "mult", "embedding").mapInArrow(_assign(index, probes), schema))
-    # sizes of the lists: at most 1024 rows
+    # sizes of the lists: at most MOST_LISTS rows a vector length
     held = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}
     asked = {r["at"]: r["count"] for r in placed.select(F.explode("probes").alias("at")).groupBy("at").count().collect()}
     grid = spark.createDataFrame([(k, -(-held[k] // MEMBERS), -(-asked.get(k, 1) // QUERIES)) for k in held], "at int, blocks int, chunks int")
@@ -215,10 +259,12 @@ def near_duplicates(
     links = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
     comp = connected_components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "vec_id")
     by = reps.drop("embedding").join(links, "vec_id", "left").join(comp, "vec_id", "left")
-    by = by.select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), F.lit(True).alias("ok"))
-    out = keyed.select("vec_id", "k1", "k2", "ok").join(by, ["k1", "k2", "ok"], "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    by = materialise(by.select("k1", "k2", "mult", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")))
+    total = by.agg(F.sum("mult")).first()[0]
+    hot = by.where(F.col("mult") >= max(2, total // HOT_KEYS)).select("k1", "k2")  # one vector may be a third of all rows
+    linked = lookup(keyed.where("ok").select("vec_id", "k1", "k2"), ["k1", "k2"], by.drop("mult"), hot).select("vec_id", "n_links", "component_id")
+    out = linked.unionByName(alone.where("not ok").select("vec_id", "n_links", "component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
