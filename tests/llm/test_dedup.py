@@ -1,10 +1,12 @@
 import hashlib
+import random
 import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seriesforge.llm import common
 from seriesforge.llm import op03_suffix as S
 from seriesforge.llm import op04_pq as P
 from seriesforge.llm import op10_minhash as M
@@ -173,3 +175,49 @@ def test_id_sample_is_bounded_and_stable(spark):
     ids = spark.range(5000).withColumnRenamed("id", "k")
     a, b = (sorted(r.k for r in sample_ids(df, "k", 300).collect()) for df in (ids, ids.repartition(9).orderBy(F.desc("k"))))
     assert a == b and len(a) == 300 and sample_ids(ids.limit(20), "k", 300).count() == 20
+
+
+def test_rows_that_share_an_id_keep_their_own_cuts(docs):
+    rng = random.Random(9)
+    x, y = (bytes(rng.randrange(97, 123) for _ in range(300)).decode() for _ in range(2))
+    rows = [(0, x), (1, x), (1, y), (2, y), (3, y + y), (3, x[:150] + y[:120])]
+    got = {(r.doc_id, r.n_bytes, r.n_removed) for r in S.dedup_digest(docs(rows).repartition(4)).collect()}
+    assert got == {(0, 300, 0), (1, 300, 300), (1, 300, 0), (2, 300, 300), (3, 600, 600), (3, 270, 270)}
+    kept = sorted((r.doc_id, r.text) for r in S.remove_repeats(docs(rows)).collect())
+    assert kept == sorted([(0, x), (1, ""), (1, y), (2, ""), (3, ""), (3, "")])
+    twice = [(7, x + x), (7, y + x), (8, "")]  # unequal texts of one id: each only against itself
+    assert {(r.n_bytes, r.n_removed) for r in S.dedup_digest(docs(twice)).collect()} == {(600, 300), (600, 0), (0, 0)}
+
+
+def test_refinement_equals_brute_force():
+    rng = np.random.default_rng(5)
+    data = rng.integers(0, 2, 4000).astype(np.uint8)
+    data[1500:1900], data[3000:3250], data[3700:] = data[100:500], data[200:450], 0
+    bucket = S.refined(data)
+    raw = data.tobytes()
+    first = {}
+    assert len(bucket) == len(raw) - 99
+    assert all(first.setdefault(raw[i : i + 100], int(b)) == b for i, b in enumerate(bucket)) and len(set(first.values())) == len(first)
+    assert not len(S.refined(data[:99])) and len(S.refined(data[:100])) == 1
+
+
+def test_vectors_of_every_length_take_part(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [1.0, 0.1, 0.0]), (4, [1.0, 2.0]), (5, [1.0, 2.0]), (6, [2.0, 4.1]), (7, [5.0]), (9, [-5.0]), (8, [1.0] * 5), (None, [1.0, 2.0])]
+    got = as_rows(P.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert got == {1: (1, 1, True), 2: (0, 2, True), 3: (1, 1, False), 4: (2, 4, True), 5: (2, 4, False), 6: (2, 4, False), 7: (0, 7, True), 9: (0, 9, True), 8: (0, 8, True), None: (0, None, True)}
+
+
+def test_lookups_beyond_the_broadcast_bound(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(0, i) for i in range(600, 900)] + [(i, i + 1) for i in range(1000, 1040)]
+    want, nodes = Sets(x for e in edges for x in e), {x for e in edges for x in e}
+    for a, b in edges:
+        want.join(a, b)
+    for bound, held in ((200_000, 4_000_000), (0, 40)):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", bound)
+        monkeypatch.setattr(common, "FOREST_EDGES", held)
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()}
+        assert got == {x: want.find(x) for x in nodes if want.find(x) != x}
+    rows = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 50), (None, 51)], "k long, i int")
+    got = common.lookup(rows, "k", spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, v string"))
+    assert {r.i: r.v for r in got.collect()} == {**dict.fromkeys(range(50), "a"), 50: "b", 51: None}
