@@ -1,17 +1,20 @@
 """Mini-batch softmax regression on transformed series.
 
-The transform is distributed and its standardised features are persisted (they
-spill); the updates are sequential by nature, so the driver takes one tranche
-at a time from the persisted frame and never holds more than one tranche and
-the validation rows.
+The transform is distributed and runs once; its features are written as float32, a
+folder a tranche, to the shared folder of the session. The updates are sequential by
+nature, so the driver streams the tranches in order; it keeps those that fit
+``cache_bytes`` and the validation rows, and reads the others again every epoch.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,7 +107,17 @@ class SoftmaxModel:
         return self.bias
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        return (((x - self.mean) / self.std) @ self.weights + self.bias).argmax(axis=1)
+        return (_standard(x.astype(np.float32), self.mean, self.std) @ self.weights + self.bias).argmax(axis=1)
+
+
+def _standard(x: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
+    """float32 features standardised in double precision and rounded once."""
+    return ((x - mean) / std).astype(np.float32)
+
+
+def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    rows = table.column("features").combine_chunks()
+    return rows.flatten().to_numpy().reshape(len(rows), -1) if len(rows) else np.empty((0, 0), np.float32), table.column("label").to_numpy()
 
 
 def _gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
@@ -126,8 +139,10 @@ class SoftmaxTrainer:
     check_every: int = 10
     seed: int = 0
 
+    cache_bytes: int = 1 << 30
+
     def _zero(self, width: int) -> dict[str, np.ndarray]:
-        return {"w": np.zeros((width, self.num_classes)), "b": np.zeros(self.num_classes)}
+        return {"w": np.zeros((width, self.num_classes), np.float32), "b": np.zeros(self.num_classes, np.float32)}
 
     def search_rate(self, batch: tuple, tranche: tuple) -> float:
         """One update of a zero model on the minibatch by rate; the lowest loss on the tranche, first on ties."""
@@ -139,49 +154,62 @@ class SoftmaxTrainer:
                 best, choice = loss, lr
         return choice
 
+    def minibatches(self, tranches: int, load: Callable[[int], tuple]) -> Iterator[tuple[int, tuple, np.ndarray]]:
+        """(epoch, rows of a tranche, picks) in order; an undersized minibatch counts only where it is a tranche's one."""
+        rng, size = np.random.default_rng(self.seed), self.minibatch_size
+        for epoch in range(self.max_epochs):
+            for t in range(tranches):
+                rows = load(t)
+                order = rng.permutation(len(rows[1]))
+                for k in range(len(order) // size or min(len(order), 1)):
+                    yield epoch, rows, order[k * size : (k + 1) * size]
+
     def fit(self, train: DataFrame, valid: DataFrame, bank: KernelBank) -> SoftmaxModel:
         """Train on ``series_id, label, x`` with labels 0 .. num_classes - 1."""
-        prep = (lambda d: znormalise(d)) if self.normalise else (lambda d: d)
-        first = int(train.agg(F.min("series_id")).first()[0])
-        tid = F.floor((F.col("series_id") - first) / self.tranche_size)
-        feats = transform_wide(prep(train), bank).withColumn("tranche", tid).persist(StorageLevel.MEMORY_AND_DISK)
+        spark = train.sparkSession
+        wide = lambda d: transform_wide(znormalise(d) if self.normalise else d, bank).withColumn("features", F.col("features").cast("array<float>"))
+        if valid.count() * 8 * len(bank) > self.cache_bytes:
+            raise ValueError("the validation rows do not fit cache_bytes; split off fewer")
+        first, last = train.agg(F.min("series_id"), F.max("series_id")).first()
+        tranches = (last - first) // self.tranche_size + 1
+        tid = F.floor((F.col("series_id") - first) / self.tranche_size).cast("int")
+        path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tranches-')}/{uuid.uuid4().hex}"
+        feats = wide(train).withColumn("tranche", tid).select("series_id", "label", "features", "tranche")
+        feats.write.partitionBy("tranche").parquet(path)
+        stored = spark.read.schema(feats.schema).parquet(path)
+        held: dict[int, tuple] = {}
+
+        def load(t: int) -> tuple[np.ndarray, np.ndarray]:
+            if t not in held:
+                x, y = _matrix(stored.where(F.col("tranche") == t).orderBy("series_id").select("label", "features").toArrow())
+                rows = (_standard(x, mean, std) if len(y) else x), y
+                if (len(held) + 1) * rows[0].nbytes > self.cache_bytes:
+                    return rows
+                held[t] = rows
+            return held[t]
+
         try:
-            last = int(feats.agg(F.max("tranche")).first()[0])
-
-            def tranche(t: int) -> tuple[np.ndarray, np.ndarray]:
-                pdf = feats.where(F.col("tranche") == t).orderBy("series_id").select("label", "features").toPandas()
-                return (np.vstack(pdf["features"].to_numpy()) if len(pdf) else np.empty((0, 2 * len(bank)))), pdf["label"].to_numpy()
-
-            head = tranche(0)
-            mean, std = head[0].mean(axis=0), head[0].std(axis=0) + FEATURE_EPSILON
-            vp = transform_wide(prep(valid), bank).select("label", "features").toPandas()  # one tranche of rows by contract
-            vx, vy = (np.vstack(vp["features"].to_numpy()) - mean) / std, vp["label"].to_numpy()
-            p, adam, plateau, rule = self._zero(head[0].shape[1]), None, Plateau(), StopRule(self.patience)
-            rng, seen, history = np.random.default_rng(self.seed), 0, []
-            for epoch in range(self.max_epochs):
+            head = _matrix(stored.where("tranche = 0").orderBy("series_id").select("label", "features").toArrow())[0].astype(float)
+            mean, std = head.mean(axis=0), head.std(axis=0) + FEATURE_EPSILON
+            del head
+            vx, vy = _matrix(wide(valid).select("label", "features").toArrow())
+            vx = _standard(vx, mean, std)
+            p, adam, plateau, rule = self._zero(vx.shape[1]), None, Plateau(), StopRule(self.patience)
+            seen, history = 0, []
+            for epoch, (x, y), pick in self.minibatches(tranches, load):
                 if epoch and rule.stopped:
                     break
-                for t in range(last + 1):
-                    if epoch and rule.stopped:
-                        break
-                    raw, y = head if t == 0 else tranche(t)
-                    x = (raw - mean) / std
-                    order = rng.permutation(len(x))
-                    for at in range(0, len(x), self.minibatch_size):
-                        if epoch and rule.stopped:
-                            break
-                        pick = order[at : at + self.minibatch_size]
-                        if at and len(pick) < self.minibatch_size:
-                            break
-                        if adam is None:
-                            adam = Adam(self.search_rate((x[pick], y[pick]), (x, y)))
-                        adam.step(p, _gradients(p, x[pick], y[pick]))
-                        seen += 1
-                        if seen % self.check_every == 0:
-                            loss = cross_entropy(vx @ p["w"] + p["b"], vy)
-                            history.append((seen, loss))
-                            adam.lr = plateau.step(loss, adam.lr)
-                            rule.check(loss)
+                batch = x[pick], y[pick]
+                if adam is None:
+                    adam = Adam(self.search_rate(batch, (x, y)))
+                adam.step(p, _gradients(p, *batch))
+                seen += 1
+                if seen % self.check_every == 0:
+                    loss = cross_entropy(vx @ p["w"] + p["b"], vy)
+                    history.append((seen, loss))
+                    adam.lr = plateau.step(loss, adam.lr)
+                    rule.check(loss)
             return SoftmaxModel(p["w"], p["b"], mean, std, history)
         finally:
-            feats.unpersist()
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

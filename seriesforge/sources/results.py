@@ -33,5 +33,13 @@ def union_by_k(tables: dict[int, DataFrame]) -> DataFrame:
 
 
 def write_results(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """A small result table as one file (CSV with a header, or parquet)."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).format(fmt).save(path)
+    """A small result table as the one file ``path`` (CSV with a header, or parquet), on any file system of Spark."""
+    spark, folder = df.sparkSession, f"{path}.parts"
+    df.coalesce(1).write.mode("overwrite").option("header", True).format(fmt).save(folder)
+    parts, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (folder, path))
+    fs = parts.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(s.getPath() for s in fs.listStatus(parts) if s.getPath().getName().startswith("part-"))
+    fs.delete(target, True)
+    if not fs.rename(part, target):
+        raise OSError(f"cannot write {path}")
+    fs.delete(parts, True)

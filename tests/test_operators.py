@@ -97,6 +97,22 @@ def test_softmax_trainer_learns(spark):
     assert E.accuracy(E.predict(znormalise(valid), bank, model)).first()[0] > 0.9 and model.history
 
 
+def test_softmax_reads_tranches_again_beyond_its_cache(spark):
+    x, y = classes(700, kinds=3)
+    valid, train = frame(spark, x[:100], y[:100]), frame(spark, x, y).where("series_id >= 100 and not series_id between 228 and 355")  # an empty tranche
+    bank = make_kernels(64, 12, 2)
+    a, b = (SoftmaxTrainer(3, tranche_size=128, minibatch_size=64, max_epochs=3, cache_bytes=c).fit(train, valid, bank) for c in (1 << 30, 20_000))
+    assert (a.weights == b.weights).all() and a.weights.dtype == np.float32 and a.history == b.history
+    with pytest.raises(ValueError):
+        SoftmaxTrainer(3, cache_bytes=100).fit(train, valid, bank)
+
+
+def test_minibatches_leave_out_the_undersized():
+    rows = {0: (None, np.zeros(10)), 1: (None, np.zeros(0)), 2: (None, np.zeros(3))}
+    got = [(e, len(r[1]), len(p)) for e, r, p in SoftmaxTrainer(2, minibatch_size=4, max_epochs=2).minibatches(3, rows.get)]
+    assert got == [(e, n, k) for e in range(2) for n, k in ((10, 4), (10, 4), (3, 3))]
+
+
 def test_stop_rule_and_rate_choice():
     rule = StopRule(2)
     assert [rule.check(v) for v in (2.0, 1.5, 1.5, 1.25, 1.25, 1.5, 1.0)] == [False, False, False, False, False, True, True]

@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from seriesforge.plans.experiments import run_archive, run_scaling
+from seriesforge.plans import experiments
+from seriesforge.plans.experiments import main, run_archive, run_scaling
 from seriesforge.sources.results import union_by_k, write_results
 from seriesforge.sources.series import SeriesError, assert_series, read_dataset_list, read_series_csv, read_series_text, repair_series
 
@@ -49,4 +50,19 @@ def test_experiment_drivers(spark, tmp_path):
     s = run_scaling(spark, str(tmp_path / "TRAIN.csv"), str(tmp_path / "TEST.csv"), 20, sizes=[128], num_classes=2, holdout=100)
     assert s.first().accuracy > 0.7
     write_results(union_by_k({20: s}), str(tmp_path / "out"))
-    assert spark.read.csv(str(tmp_path / "out"), header=True).columns == ["k", "num_training_examples", "accuracy", "time_training_seconds"]
+    assert (tmp_path / "out").is_file()  # one file of that name
+    assert (tmp_path / "out").read_text().splitlines()[0] == "k,num_training_examples,accuracy,time_training_seconds"
+
+
+def test_command_lines(spark, tmp_path, monkeypatch):
+    for split, seed in (("TRAIN", 1), ("TEST", 2)):
+        write(tmp_path / "in" / "toy" / f"toy_{split}.txt", *waves(30, 32, seed), "  ")
+        write(tmp_path / f"{split}.csv", *waves(200, 32, seed), ",")
+    (tmp_path / "names").write_text("toy\n")
+    main(["archive", "-d", str(tmp_path / "names"), "-i", str(tmp_path / "in"), "-o", str(tmp_path), "-n", "1", "-k", "20"])
+    rows = (tmp_path / "results_archive.csv").read_text().splitlines()
+    assert rows[0].startswith("dataset,accuracy_mean") and rows[1].startswith("toy,") and len(rows) == 2
+    monkeypatch.setattr(experiments, "run_scaling", lambda s, a, b, k: run_scaling(s, a, b, k, sizes=[64, 100], num_classes=2, holdout=100))
+    main(["scaling", "-tr", str(tmp_path / "TRAIN.csv"), "-te", str(tmp_path / "TEST.csv"), "-o", str(tmp_path), "-k", "10"])
+    rows = (tmp_path / "results_scaling_k=10.csv").read_text().splitlines()
+    assert [r.split(",")[0] for r in rows] == ["num_training_examples", "64", "100"]
