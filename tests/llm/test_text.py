@@ -98,38 +98,80 @@ def test_round_trip(docs, corpus):
     assert digest[next(i for i, t in rows if not t)].n_pieces == 0 and U.digests(docs([])).count() == 0
 
 
-def test_seating_matches_exact_expectations():
-    n = 4000
-    key = L.mix(np.arange(n, dtype=np.uint64) + np.uint64(77))
-    count, base = np.full(n, 5), np.full(n, 0.2)
-    t = L.seat(count, base, 10.0, 0.5, key, 3)
-    w = (L.STRENGTH + 5.0) * 0.2
-    dist = {1: 1.0}  # tables after the first customer
-    for i in range(1, 5):
-        new = {}
-        for k, p in dist.items():
-            q = w / (w + i - 0.5 * k)
-            new[k + 1], new[k] = new.get(k + 1, 0) + p * q, new.get(k, 0) + p * (1 - q)
-        dist = new
-    mean = sum(k * p for k, p in dist.items())
-    assert abs(t.mean() - mean) < 0.1 and t.min() >= 1 and t.max() <= 5
-    assert (L.seat(count, base, 10.0, 0.5, key, 3) == t).all()
-    big = L.seat(np.array([10**6, 1, 0]), np.array([0.1, 0.1, 0.1]), 5.0, 0.5, key[:3], 1)
-    assert big[1] == 1 and big[2] == 0 and 1 <= big[0] <= 10**6
-
-
-def test_spelling_model_is_a_distribution():
-    words = [b"abc", b"abd", b"xyz", b"", b"ab"]
-    data, lengths = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
-    code, word = L.contexts(data, lengths, 3)
-    u, inverse = np.unique(code, return_inverse=True)
-    model = L.spelling_model(u, np.bincount(inverse, weights=np.array([5, 3, 1, 2, 7])[word]).astype(np.int64), 3, 1)
-    full = model.table[:, model.column].sum(axis=1)
-    assert np.allclose(full, 1.0, atol=1e-5)
-    p = np.exp(model.log_probability(data, lengths))
-    assert p[1] > np.exp(model.log_probability(np.frombuffer(b"axd", np.uint8), np.array([3])))[0] and p.sum() < 1
-    none = L.spelling_model(np.zeros(0, np.int64), np.zeros(0, np.int64), 3, 1)
-    assert np.isclose(none.log_probability(np.frombuffer(b"ab", np.uint8), np.array([2]))[0], 3 * np.log(1 / 257), atol=1e-4)
+def exact_tables(count, weight, discount):
+    """Mean and deviation of the tables of one dish by the recursion over its customers."""
+    row = np.array([1.0])
+    for c in range(1, count):
+        t = np.arange(1, c + 2)
+        row = (np.append(row, 0) * np.maximum(c - discount * t, 0) + np.append(0, row)) / c
+    t = np.arange(1, count + 1)
+    w = np.where(row > 1e-290, np.log(np.maximum(row, 1e-300)) + t * np.log(weight), -np.inf)
+    w = np.exp(w - w.max())
+    w /= w.sum()
+    return (w * t).sum(), (w * t * t).sum() - (w * t).sum() ** 2
+
+
+@pytest.mark.parametrize(("count", "weight", "discount"), [(5, 1.2, 0.5), (30, 1.2, 0.5), (1000, 0.12, 0.5), (1024, 20.0, 0.7), (1500, 40.0, 0.3), (3000, 0.3, 0.8), (3000, 60.0, 0.6)])
+def test_tables_match_the_exact_conditional(count, weight, discount):
+    n, rng = 6000, np.random.default_rng(1)
+    t = L.draw_tables(np.full(n, count), np.full(n, weight), discount, rng)
+    mean, variance = exact_tables(count, weight, discount)
+    assert abs(t.mean() - mean) < 5 * np.sqrt(variance / n) + 0.01 * mean and t.min() >= 1 and t.max() <= count
+    assert (L.draw_tables(np.array([0, 1, 2]), np.ones(3), discount, rng)[:2] == [0, 1]).all()
+
+
+def chain(word, context, c, n, contexts, types, d=0.6, e=0.4):
+    totals = L.Totals(int(sum(n)), types, d, e, L.Contexts(np.arange(contexts).astype(np.uint64), np.bincount(context, weights=c, minlength=contexts).astype(np.int64)))
+    u = lambda v, k: np.array(v, dtype=k)
+    return totals, L.Seating(0, L.pack(n=u(n, np.int64)), L.pack(word=u(word, np.uint32), context=u(context, np.uint16), c=u(c, np.int64)), totals)
+
+
+def test_gibbs_sweeps_sample_the_exact_posterior():
+    import itertools
+    import math
+
+    word, context, c = [0, 1, 0], [0, 0, 1], [4, 2, 3]
+    totals, seating = chain(word, context, c, [8, 3], 2, 2)
+    d, e, th = totals.discount, totals.top_discount, L.STRENGTH
+    rise = lambda d, t: d**t * math.gamma(th / d + t) / math.gamma(th / d)
+    s, s1 = np.exp(L.stirling(d, 16)), np.exp(L.stirling(e, 16))
+    want, mass = np.zeros(5), 0.0
+    for t in itertools.product(*(range(1, k + 1) for k in c)):
+        top = [1 + t[0] + t[2], 1 + t[1]]  # one customer a word comes without a context
+        for t1 in itertools.product(*(range(1, k + 1) for k in top)):
+            w = rise(d, t[0] + t[1]) * rise(d, t[2]) * s[4, t[0]] * s[2, t[1]] * s[3, t[2]]
+            w *= rise(e, sum(t1)) / math.gamma(th + sum(top)) * s1[top[0], t1[0]] * s1[top[1], t1[1]] * totals.uniform ** sum(t1)
+            want, mass = want + w * np.array([*t, *t1]), mass + w
+    got, rounds = np.zeros(5), 12_000
+    for k in range(rounds):
+        tables = np.bincount(seating.context, weights=seating.t, minlength=2)
+        seating.sweep(L.draw_shared(tables, seating.tables.sum(), seating.mass.sum(), totals, k))
+        got += np.append(seating.t, seating.tables)
+    assert np.abs(got / rounds - want / mass).max() < 0.05
+
+
+def test_predictions_are_a_distribution_and_replay():
+    rng = np.random.default_rng(3)
+    key = np.unique(rng.integers(0, 40 * 6, 120))
+    word, context, c = key // 6, key % 6, rng.integers(1, 9, len(key))
+    n = np.bincount(word, weights=c, minlength=40).astype(int) + rng.integers(1, 4, 40)
+    totals, a = chain(word, context, c, n, 6, 40)
+    _, b = chain(word, context, c, n, 6, 40)
+    past = []
+    for k in range(4):
+        past.append(L.draw_shared(np.bincount(a.context, weights=a.t, minlength=6), a.tables.sum(), a.mass.sum(), totals, k))
+        a.sweep(past[-1])
+    for s in past:
+        b.sweep(s)
+    assert (a.t == b.t).all() and (a.mass == b.mass).all()  # another task seats alike
+    sample = L.Sample(np.bincount(a.context, weights=a.t, minlength=6), a.tables.sum(), a.customers.sum())
+    parent = a.parent(sample)
+    assert abs(parent.sum() - 1) < 1e-9 and parent.min() > 0
+    for u in range(6):
+        own = np.zeros(41)
+        own[a.word[a.context == u]] = (a.c - totals.discount * a.t)[a.context == u]
+        p = (own + (L.STRENGTH + totals.discount * sample.tables[u]) * parent) / (L.STRENGTH + totals.contexts.n[u])
+        assert abs(p.sum() - 1) < 1e-9 and p.min() > 0
 
 
 def test_scores_equal_definitions(docs, corpus):
@@ -147,21 +189,45 @@ def test_scores_equal_definitions(docs, corpus):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(c[w] > 0 for w in ws), n)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel_tol=1e-9)
-        assert r.score < 0 and r.spelled_score <= r.score + 1e-6
+        assert r.score < 0
     ppl = {r.held_out: r for r in L.perplexity(L.score_texts(docs(corpus))).collect()}
     # this vocabulary is uniform and closed: nothing to gain over the base, and nothing to lose
     assert ppl[True].perplexity < 1.02 * ppl[True].base_perplexity
 
 
-def test_scores_sum_to_one_over_the_vocabulary(docs):
-    rows = [(i, f"w{i % 7} w{i % 3} rare{i}") for i in range(40)]
-    train = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 10]
-    vocabulary = sorted({w for _, t in train for w in t.split()})
-    probes = [(10_000 + k, w) for k, w in enumerate([*vocabulary, "neverseen"])]
-    probes = [(i, w) for j, (_, w) in enumerate(probes) for i in [next(x for x in range(100_000 + 50 * j, 100_050 + 50 * j) if zlib.crc32(str(x).encode()) % 10 == 0)]]
-    got = {r.doc_id: r.score for r in L.score_texts(docs(rows + probes + [(next(x for x in range(900_000, 900_100) if zlib.crc32(str(x).encode()) % 10 == 0), "")])).collect()}
-    end = got[max(got)]
-    assert abs(10**end + sum(10 ** (got[i] - end) for i, _ in probes) - 1.0) < 1e-3
+def test_word_order_counts(docs):
+    rng = random.Random(6)
+    follow = {w: [f"w{rng.randrange(80)}" for _ in range(3)] for w in (f"w{i}" for i in range(80))}
+
+    def walk(n):
+        out = [f"w{rng.randrange(80)}"]
+        while len(out) < n:
+            out.append(rng.choice(follow[out[-1]]))
+        return " ".join(out)
+
+    rows = [(i, walk(60)) for i in range(300)]
+    held = [i for i in range(1000, 3000) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    ws = walk(60).split()
+    rows += [(held[0], " ".join(ws)), (held[1], " ".join(sorted(ws)))]
+    got = L.score_texts(docs(rows))
+    by = {r.doc_id: r for r in got.collect()}
+    assert by[held[0]].score > by[held[1]].score + 20 and abs(by[held[0]].base_score - by[held[1]].base_score) < 1e-6
+    few = {r.doc_id: r.score for r in L.score_texts(docs(rows), contexts=0).collect()}
+    assert abs(few[held[0]] - few[held[1]]) < 1e-4  # without context restaurants order is nothing
+    ppl = {r.held_out: r for r in L.perplexity(got).collect()}
+    assert ppl[True].perplexity < 0.25 * ppl[True].base_perplexity
+
+
+def test_batches_and_owners_do_not_change_scores(docs, corpus, monkeypatch):
+    whole = {r.doc_id: (r.n_known, r.base_score) for r in L.score_texts(docs(corpus)).collect()}
+    scores = []
+    for size in (4_000_000, 300):
+        monkeypatch.setattr(L, "OWNER_TOKENS", size)
+        got = {r.doc_id: r for r in L.score_texts(docs(corpus).repartition(3)).collect()}
+        assert {i: r.n_known for i, r in got.items()} == {i: v[0] for i, v in whole.items()}
+        assert all(abs(got[i].base_score - v[1]) < 1e-6 for i, v in whole.items())
+        scores.append(sum(r.score for r in got.values()))
+    assert abs(scores[1] / scores[0] - 1) < 0.01  # other draws, the same model
 
 
 def test_score_edge_tables(docs):
