@@ -11,7 +11,10 @@
    byte-shape trigrams and measure bins is trained. It scores every document.
 
 ``kept`` is ``score >= 0.5``. Null and empty texts have no words: they get the
-vote "too short", score 0 and are not kept. Extra columns pass through.
+vote "too short", score 0 and are not kept. Long texts are measured whole. A score of exactly 0.5
+is kept. Repeated rows count as often as they occur and score alike; rows without an id score like
+others and are not sampled. An empty table gives an empty result. Extra columns pass through, but those called
+``votes_bad``, ``votes_good``, ``posterior`` or ``quality_score``, which are replaced.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ safe and encoded in pieces of bounded size.
 
 Special strings inside a text hold no white space, so no boundary cuts one, and
 the tokenizer treats them as it does by default. Null texts are empty. Empty
-texts have no tokens. Repeated rows and extra columns are harmless.
+texts have no tokens; an empty table gives an empty result. Repeated rows and extra columns are harmless.
 """
 
 from __future__ import annotations
@@ -45,16 +45,13 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def balanced(parts: list[str], limit: int = BATCH_BYTES) -> Iterator[list[str]]:
-    """Consecutive parts of at most ``limit`` characters a batch (one longer part is a batch)."""
-    batch, size = [], 0
-    for p in parts:
-        if batch and size + len(p) > limit:
-            yield batch
-            batch, size = [], 0
-        batch.append(p)
-        size += len(p)
-    if batch:
-        yield batch
+    """Consecutive parts of at most ``limit`` bytes a batch (one longer part is a batch)."""
+    size = np.fromiter((len(p) if p.isascii() else len(p.encode()) for p in parts), np.int64, len(parts))
+    upto, at = np.concatenate([[0], np.cumsum(size)]), 0
+    while at < len(parts):
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + limit, side="right")) - 1)
+        yield parts[at:end]
+        at = end
 
 
 def pieces(text: str, most: int = PIECE_CHARS) -> list[str]:

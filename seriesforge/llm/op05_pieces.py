@@ -15,7 +15,8 @@ and drops the first.
 
 Null texts are empty; an empty text has no pieces. A marker character in a text
 decodes to a space, as it does in the format itself (``round_trip`` is then
-false). Extra columns are ignored.
+false). Long texts are segmented whole, since no segment crosses a run of markers. Repeated rows get a
+row each. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

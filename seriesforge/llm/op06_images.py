@@ -13,9 +13,12 @@
    proposal that most matches agree with within ``TOLERANCE`` pixels is the
    consensus, and ``INLIERS`` of them confirm a copy, cropped and edited ones too.
 
-Queries are the images whose id is divisible by 50, against all images. Null,
-empty and undecodable images, and images without corners, match nothing; an
-undecodable image is not an error. Repeated ids give a row each way.
+Queries are the images whose id is divisible by 50, against all images. Pairs are pairs of
+representatives (the smallest id of equal images), and a row of kind ``member`` names the
+representative of every image that has corners: equal images are not expanded into pairs. Null,
+empty and undecodable images, and images without corners, match nothing and have no row; an
+undecodable image is not an error. Repeated ids give a member row each. An empty table gives an empty
+result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesforge.llm.common import materialise
+from seriesforge.llm.common import HOT_KEYS, bucket_count, lookup, materialise
 
 QUERY_EVERY = 50
 SCALES = (1.0, 2**-0.5, 0.5)
@@ -304,12 +307,19 @@ def _search(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def find_copies(media: DataFrame, id_col: str = "image_id", image_col: str = "image", every: int = QUERY_EVERY) -> DataFrame:
-    """``query_id, match_id, n_matches, n_inliers, scale, turn`` of confirmed copies of the query images."""
+    """Rows of kind ``copy`` and ``member``: ``kind, query_id, match_id, n_matches, n_inliers, scale, turn``.
+
+    copy: a confirmed copy ``match_id`` of the query image ``query_id``, both representatives;
+    member: ``match_id`` is the representative of the image ``query_id``. A query's copies are its
+    representative's, and their members.
+    """
     src = media.select(F.col(id_col).cast("bigint").alias("image_id"), F.col(image_col).alias("image")).where("image is not null and image_id is not null")
-    described = materialise(src.mapInArrow(_describe, "image_id long, k binary, blob binary"))
+    dealt = src.repartition(4 * bucket_count(media.sparkSession))  # describing takes most of the time: no task of many images
+    described = materialise(dealt.mapInArrow(_describe, "image_id long, k binary, blob binary"))
     ask = F.max((F.pmod("image_id", F.lit(every)) == 0).cast("int")).alias("asked")
-    index = materialise(described.groupBy("k").agg(F.min("image_id").alias("rep"), F.first("blob").alias("blob"), ask))
-    member = described.select("image_id", "k").join(index.select("k", "rep"), "k").select("image_id", "rep")
+    index = materialise(described.groupBy("k").agg(F.min("image_id").alias("rep"), F.first("blob").alias("blob"), F.count(F.lit(1)).alias("images"), ask))
+    hot = index.where(F.col("images") >= max(2, described.count() // HOT_KEYS)).select("k")  # one picture may be a third of all
+    member = lookup(described.select("image_id", "k"), "k", index.select("k", "rep"), hot).select("image_id", "rep")
     size = index.agg(F.count(F.lit(1)).alias("n"), F.sum("asked").alias("q")).first()
     blocks, chunks = max(1, -(-size["n"] // IMAGES)), max(1, -(-(size["q"] or 0) // QUERIES))
     deal = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.lit(n)).cast("int")
@@ -318,14 +328,10 @@ def find_copies(media: DataFrame, id_col: str = "image_id", image_col: str = "im
     q = index.where("asked = 1").select("rep", "blob", F.lit(0).alias("side"), every_one(blocks).alias("block"), deal(chunks, 2).alias("chunk"))
     schema = "query_rep long, match_rep long, n_matches long, n_inliers long, scale double, turn double"
     seen = x.unionByName(q.select(x.columns)).groupBy("block", "chunk").applyInPandas(_search, schema)
-    # equal images: confirmed by their bytes; only images with corners take part
-    n = (F.length("blob") / (12 + BITS // 8)).cast("bigint")
-    own = index.where("asked = 1").select(F.col("rep").alias("query_rep"), F.col("rep").alias("match_rep"), n.alias("n_matches"), n.alias("n_inliers"), F.lit(1.0).alias("scale"), F.lit(0.0).alias("turn"))
-    hits = seen.unionByName(own)
-    q = member.where(F.pmod("image_id", F.lit(every)) == 0).select(F.col("image_id").alias("query_id"), F.col("rep").alias("query_rep"))
-    m = member.select(F.col("image_id").alias("match_id"), F.col("rep").alias("match_rep"))
-    out = hits.join(q, "query_rep").join(m, "match_rep").where("query_id <> match_id")
-    return out.select("query_id", "match_id", "n_matches", "n_inliers", "scale", "turn")
+    copies = seen.withColumnsRenamed({"query_rep": "query_id", "match_rep": "match_id"}).select(F.lit("copy").alias("kind"), "*")
+    none = {"n_matches": F.lit(None).cast("bigint"), "n_inliers": F.lit(None).cast("bigint"), "scale": F.lit(None).cast("double"), "turn": F.lit(None).cast("double")}
+    members = member.select(F.lit("member").alias("kind"), F.col("image_id").alias("query_id"), F.col("rep").alias("match_id")).withColumns(none)
+    return copies.unionByName(members)
 
 
 SIDE, SHAPES = 128, 16

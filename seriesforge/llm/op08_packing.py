@@ -10,13 +10,16 @@ of its duplicate clusters and counting bitmaps of its sources (plane k has a
 source's bit if the bin holds at least k + 1 of its pieces).
 
 Only ids, lengths, sources and cluster keys are shuffled, never texts. Shards of
-at most about ``shard_rows`` documents, dealt by id hash so that a hot source or
-cluster spreads evenly, are packed independently; each leaves a few open bins.
+about ``shard_rows`` documents, dealt by a hash of id and cluster so that a hot source, a
+cluster or rows without an id spread evenly, are packed independently; each leaves a few open
+bins, so "tightest" is tightest of a shard (README: what that costs).
 Equal pieces of one cluster and source resume where the last one was placed, so
 thousands of copies do not search the same bins again.
 
-Null and empty texts get one row of length 0 and no bin. Repeated rows are
-packed once each. A null source is a source of its own. Extra columns are ignored.
+Lengths are characters, or ``size_col`` (tokens, say); a document beyond the capacity is cut into
+pieces of it. Null and empty texts get one row of length 0 and no bin. Repeated rows are
+packed once each, equal lengths in order of cluster, source and id. A null source is a source of its own.
+An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -87,15 +90,16 @@ class Bins:
 
 def pack_shard(sizes: list[int], sources: list, clusters: list, capacity: int = CAPACITY, per_source: int = PER_SOURCE) -> list[int]:
     """Bin of each piece; pieces are given in any order and placed longest first (then by cluster, source, order)."""
-    names = {s: 1 << i for i, s in enumerate(sorted(set(map(str, sources))))}
+    plain = [(s is not None, s or "") for s in sources]  # a null source is no source's name
+    names = {s: 1 << i for i, s in enumerate(sorted(set(plain)))}
     seen: dict = {}
     for c in clusters:
         seen[c] = seen.get(c, 0) + 1
     several = {c: 1 << i for i, c in enumerate(sorted(c for c, n in seen.items() if n > 1))}
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], clusters[i], str(sources[i]), i))
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], clusters[i], plain[i], i))
     bins, out, last, start = Bins(capacity, per_source), [0] * len(sizes), None, 0
     for i in order:
-        size, source, cluster = sizes[i], names[str(sources[i])], several.get(clusters[i], 0)
+        size, source, cluster = sizes[i], names[plain[i]], several.get(clusters[i], 0)
         alike = (size, source, cluster)
         # bins below the last one's residual refused an equal piece and still do
         b, r = bins.find(size, source, cluster, start if cluster and alike == last else 0)
@@ -108,8 +112,9 @@ def pack_shard(sizes: list[int], sources: list, clusters: list, capacity: int =
 
 def _pack(capacity: int, per_source: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
-        bins = pack_shard(pdf["length"].tolist(), pdf["source"].tolist(), pdf["cluster"].tolist(), capacity, per_source)
+        pdf = pdf.sort_values(["doc_id", "cluster", "piece"], kind="stable").reset_index(drop=True)
+        sources = [None if s is None or s != s else s for s in pdf["source"].tolist()]
+        bins = pack_shard(pdf["length"].tolist(), sources, pdf["cluster"].tolist(), capacity, per_source)
         pdf["bin_id"] = pdf["shard"].astype("int64") * (1 << 32) + pd.Series(bins, dtype="int64")
         by = pdf.groupby("bin_id")["length"]
         pdf["bin_fill"], pdf["bin_pieces"] = by.transform("sum"), by.transform("size")
@@ -119,16 +124,16 @@ def _pack(capacity: int, per_source: int):
 
 
 def pack(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None, size_col: str | None = None,
     capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
-    """One row a piece: ``doc_id, source, piece, start, length`` (characters), ``bin_id, bin_fill, bin_pieces``.
+    """One row a piece: ``doc_id, source, piece, start, length``, ``bin_id, bin_fill, bin_pieces``.
 
     Without ``cluster_col`` equal texts form a cluster.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     cluster = F.xxhash64(F.col(cluster_col)) if cluster_col else F.xxhash64(text)
-    size = F.char_length(text).cast("bigint")
+    size = F.coalesce(F.col(size_col) if size_col else F.char_length(text), F.lit(0)).cast("bigint")
     pieces = F.greatest(F.lit(1), F.ceil(size / capacity)).cast("int")
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), cluster.alias("cluster"), size.alias("size"), pieces.alias("n"))
     shards = max(1, -(-docs.count() // shard_rows))
@@ -136,7 +141,7 @@ def pack(
     cut = cut.select(
         "doc_id", "source", "cluster", "piece", (F.col("piece") * F.lit(capacity)).cast("bigint").alias("start"),
         F.least(F.lit(capacity).cast("bigint"), F.col("size") - F.col("piece") * F.lit(capacity)).alias("length"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"),
+        F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)).alias("shard"),
     )
     schema = "doc_id long, source string, piece int, start long, length long, bin_id long, bin_fill long, bin_pieces long"
     placed = cut.where("length > 0").groupBy("shard").applyInPandas(_pack(capacity, per_source), schema)
