@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from seriesforge.llm import op01_quality as Q
 from seriesforge.llm import op06_images as I
@@ -131,6 +132,34 @@ def test_packing_covers_texts_and_keeps_constraints(docs, corpus):
     assert B.pack(docs([(1, "a", None), (1, "a", None)])).count() == 2
 
 
+def test_packing_of_null_sources_given_sizes_and_clashing_names(spark, docs, clashing):
+    assert B.pack_shard([1, 1], [None, "None"], [1, 2], 10, 1) == [0, 0]  # two sources
+    assert B.pack_shard([1, 1], [None, None], [1, 2], 10, 1) == [0, 1]
+    rows = B.pack(docs([(None, "abc", None), (None, "abd", "None"), (1, "abcd", None)]), capacity=10, per_source=1).collect()
+    assert len(rows) == 3 and len({r.bin_id for r in rows}) == 2
+    sized = clashing([(1, "a"), (2, "b")]).drop("n_tokens").withColumn("n_tokens", F.lit(700))
+    got = B.pack(sized, size_col="n_tokens", capacity=1024).collect()
+    assert sorted((r.doc_id, r.length, r.bin_fill) for r in got) == [(1, 700, 700), (2, 700, 700)]
+
+
+def expanded(found):
+    """Every (query, copy) pair of representatives' pairs and members, equal images included."""
+    rows, group, pairs = found.collect(), {}, {}
+    for r in rows:
+        if r.kind == "member":
+            group.setdefault(r.match_id, []).append(r.query_id)
+    for r in rows:
+        if r.kind == "copy":
+            pairs |= {(q, x): r for q in group[r.query_id] if q % 50 == 0 for x in group[r.match_id]}
+    return pairs | {(q, x): None for ids in group.values() for q in ids if q % 50 == 0 for x in ids if x != q}
+
+
+def test_equal_images_are_members_not_pairs(spark):
+    image = I.render(np.random.default_rng(4).normal(size=64))
+    rows = I.find_copies(spark.createDataFrame([(i, image, 1) for i in range(120)], "image_id long, image binary, k int")).collect()
+    assert sorted((r.kind, r.query_id, r.match_id) for r in rows) == [("member", i, 0) for i in range(120)]
+
+
 def test_image_copies(spark):
     rng = np.random.default_rng(1)
     images = {i: I.render(rng.normal(size=64)) for i in range(100, 160)}
@@ -138,7 +167,7 @@ def test_image_copies(spark):
     turned = np.ascontiguousarray(np.rot90(I.decode(images[100])))
     rows += [(1001, I.edited(images[100], 5)), (1003, I.encode_pgm(turned)), (1005, images[100]), (1007, I.encode_pgm(np.clip(I.resized(I.decode(images[150]), 0.75), 0, 255)))]
     rows += [(2000, None), (2001, b""), (2002, b"GIF89a"), (2003, b"P5\n9 9\n255\nshort"), (2050, I.encode_pgm(np.full((64, 64), 7.0))), (2051, b"P5\n2 2\n255\n\x00\x01\x02\x03")]
-    got = {(r.query_id, r.match_id): r for r in I.find_copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    got = expanded(I.find_copies(spark.createDataFrame(rows, "image_id long, image binary")))
     assert {(100, 1001), (100, 1003), (100, 1005), (150, 1007)} <= set(got)
     assert all(q in (100, 150) for q, _ in got) and len(got) <= 6
     assert abs(abs(got[100, 1003].turn) - 90) < 3 and abs(got[150, 1007].scale - 0.75) < 0.05
@@ -153,7 +182,7 @@ def test_image_search_recall_against_brute_force(spark):
         rows += [(i * 50, a), (i * 50 + 1, I.edited(a, i * 977))]
     described = {i: I.keypoints(I.decode(b)) for i, b in rows}
     want = {(q, x) for q in described if q % 50 == 0 for x in described if x != q and I.compare(*described[q], *described[x])[1] >= I.INLIERS}
-    got = {(r.query_id, r.match_id) for r in I.find_copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    got = set(expanded(I.find_copies(spark.createDataFrame(rows, "image_id long, image binary"))))
     assert got <= want and len(got) >= 0.9 * len(want) >= 20
 
 
@@ -161,3 +190,34 @@ def test_media_of_bad_vectors(spark):
     df = spark.createDataFrame([(1, [float("nan")] * 4), (2, None), (3, [1.0, None]), (10, [0.0] * 64)], "vec_id long, embedding array<float>")
     got = {r.image_id: r.image for r in I.media_of(df).collect()}
     assert got[1] is None and got[2] is None and got[3] is None and got[10] and got[10 + I.COPY]
+
+
+def test_scores_equal_a_plain_reimplementation():
+    """Every window compressed anew under both dictionaries, features and probability by their definitions."""
+    import math
+    import re
+
+    import zstandard
+
+    rows, labels = labelled(300)
+    m = X.fit([(i, t, labels[i][2]) for i, t in rows], 1 / 6)
+    params = zstandard.ZstdCompressionParameters(
+        window_log=20, hash_log=18, chain_log=18, search_log=5, min_match=4, target_length=32, strategy=zstandard.STRATEGY_LAZY2,
+        write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+    )
+
+    def length(content, word):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress(X.FRAME + b" " + word + b" " + X.FRAME))
+
+    texts = [t for _, t in rows[:12]] + ["", None, "One", "vilescum Idiotic, pathetik!"]
+    got = m.scorer().score(texts)
+    for t, score in zip(texts, got, strict=True):
+        ws = re.findall(rb"[^\x00-\x20!-&(-,./:-@\[-^`{-~]+", (t or "").lower().encode())
+        d = [length(m.ordinary, w) - length(m.toxic, w) for w in ws]
+        top = (sorted(d, reverse=True)[:3] + [X.LOW] * 3)[:3]
+        x = [min(max(v, X.LOW), X.HIGH) for v in top] + [math.log1p(sum(v >= s for v in d)) for s in X.STEPS] + [math.log1p(len(d))]
+        z = float(((np.array(x) - m.center) / m.scale) @ m.weights[:-1] + m.weights[-1])
+        assert abs(1 / (1 + math.exp(-min(max(z, -30), 30))) - score) < 1e-9
+    assert got[12] == got[13] and got[15] > 0.5 > got[12]
+    assert X.trained([b" a "], 100, X.TOXIC_FIT) == b" a " and len(X.ordinary_windows(["a b a", "b"])) == 3
