@@ -79,10 +79,30 @@ class KernelBank:
         return f"(VALUES {rows}) AS {alias}(kernel_id, length, weights, bias, dilation, padding)"
 
 
+@dataclass(frozen=True)
+class Draw:
+    """What chance decides of one kernel: normal numbers, two numbers in [0, 1) and a coin."""
+
+    normals: tuple[float, ...]
+    bias: float
+    dilation: float
+    same: bool
+
+    def kernel(self, input_length: int) -> Kernel:
+        """Centred weights; bias in (-1, 1); log-uniform dilation whose span fits the series; "same" padding on heads."""
+        w, reach = np.array(self.normals), len(self.normals) - 1
+        dilation = max(1, int(2.0 ** (self.dilation * np.log2((input_length - 1) / reach))))
+        return Kernel(tuple((w - w.mean()).tolist()), -1.0 + 2.0 * self.bias, dilation, reach * dilation // 2 if self.same else 0)
+
+
+def draw_kernels(num_kernels: int, seed: int) -> list[Draw]:
+    """All lengths first (uniform over 7, 9, 11), then each kernel's own numbers."""
+    rng = np.random.default_rng(seed)
+    return [Draw(tuple(rng.standard_normal(n).tolist()), rng.random(), rng.random(), bool(rng.integers(2))) for n in rng.choice(KERNEL_LENGTHS, num_kernels).tolist()]
+
+
 def make_kernels(input_length: int, num_kernels: int, seed: int) -> KernelBank:
-    """Draw a bank: length uniform over 7, 9, 11; centred normal weights; bias
-    uniform in (-1, 1); log-uniform dilation whose span fits the series; "same"
-    padding on a coin flip.
+    """Draw a bank; the same seed gives the same kernels.
 
     >>> bank = make_kernels(64, 3, seed=1)
     >>> all(abs(sum(k.weights)) < 1e-12 and k.span <= 63 for k in bank.kernels)
@@ -92,14 +112,4 @@ def make_kernels(input_length: int, num_kernels: int, seed: int) -> KernelBank:
         raise ValueError(f"series of {input_length} samples are shorter than the longest kernel ({max(KERNEL_LENGTHS)})")
     if num_kernels < 1:
         raise ValueError("a bank needs at least one kernel")
-    rng = np.random.default_rng(seed)
-    kernels = []
-    for n in rng.choice(KERNEL_LENGTHS, num_kernels).tolist():
-        w = rng.standard_normal(n)
-        w = w - w.mean()
-        bias = float(rng.uniform(-1.0, 1.0))
-        widest = np.log2((input_length - 1) / (n - 1))
-        dilation = max(1, int(2.0 ** rng.uniform(0.0, widest)))
-        same = bool(rng.integers(2))
-        kernels.append(Kernel(tuple(w.tolist()), bias, dilation, (n - 1) * dilation // 2 if same else 0))
-    return KernelBank(input_length, tuple(kernels))
+    return KernelBank(input_length, tuple(d.kernel(input_length) for d in draw_kernels(num_kernels, seed)))

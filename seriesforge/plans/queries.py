@@ -6,18 +6,21 @@ order, so per-row values agree exactly; aggregates over many rows are rounded.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesforge.functions.kernels import KERNEL_LENGTHS, make_kernels
+from seriesforge.functions.kernels import KERNEL_LENGTHS, draw_kernels, make_kernels
 from seriesforge.operators import evaluate as E
 from seriesforge.operators.normalise import fit_feature_scaler, series_stats, standardise, znormalise
 from seriesforge.operators.ridge import fit_ridge
 from seriesforge.operators.softmax import SoftmaxTrainer
 from seriesforge.operators.transform import assemble_wide, output_length, positions, responses, tap, transform_long, transform_sql
 from seriesforge.sources.results import RUNS_SCHEMA, SCALING_SCHEMA, results_frame, summarise_runs, union_by_k
-from seriesforge.sources.series import series_from_arrays, series_from_events, split_holdout
+from seriesforge.sources.series import read_series_csv, read_series_text, series_from_arrays, series_from_events, split_holdout
 
 LENGTH, EVENT_LENGTH, SEED = 64, 48, 20
 BANK = make_kernels(LENGTH, 20, SEED)
@@ -87,6 +90,15 @@ def q_softmax_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return E.accuracy(E.predict(znormalise(test), BANK, model))
 
 
+def _file_of(spark: SparkSession, sf: str, separator: str) -> str:
+    """The vectors as one headerless text file in the shared folder: label, then samples, in order of the id."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="series-")
+    path = f"{root}/{uuid.uuid4().hex}"
+    line = F.concat_ws(separator, F.col("label").cast("string"), F.concat_ws(separator, F.col("x").cast("array<string>")))
+    vectors(spark, sf).orderBy("series_id").select(line.alias("value")).coalesce(1).write.text(path)
+    return path
+
+
 def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
@@ -101,6 +113,9 @@ def queries() -> dict:
         "tranche_assign": lambda s, d: E.assign_tranches(vectors(s, d).select("series_id"), TRANCHE),
         "minibatch_assign": lambda s, d: E.assign_minibatches(E.assign_tranches(vectors(s, d).select("series_id"), TRANCHE), BATCH),
         "kernel_bank": lambda s, d: BANK.to_df(s).drop("weights"),
+        "kernel_from_draws": lambda s, d: rounded(unpack(BANK.to_df(s), "weights", "w", "kernel_id", "length", "bias", "dilation", "padding"), 9, "w", "bias"),
+        "series_text": lambda s, d: unpack(read_series_text(s, _file_of(s, d, "  ")), "x", "v", "series_id", "label"),
+        "series_csv_range": lambda s, d: unpack(read_series_csv(s, _file_of(s, d, ","), HOLDOUT // 2, HOLDOUT), "x", "v", "series_id", "label"),
         "kernel_lengths_hist": lambda s, d: BANK.to_df(s).groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total")),
         "kernel_weights_flat": lambda s, d: unpack(BANK.to_df(s), "weights", "w", "kernel_id"),
         "kernel_span_max": lambda s, d: BANK.to_df(s).groupBy("length").agg(F.max((F.col("length") - 1) * F.col("dilation")).alias("span"), F.max("dilation").alias("dilation")),
@@ -163,6 +178,14 @@ def _values(rows: list[tuple], alias: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS {alias}"
 
 
+#: What chance decided of ``BANK``; SQL derives the kernels from it.
+DRAWS = "(VALUES {}) AS d(kernel_id, normals, u_bias, u_dilation, same)".format(
+    ", ".join(f"({i}, [{', '.join(f"'{v!r}'::DOUBLE" for v in w.normals)}], '{w.bias!r}'::DOUBLE, '{w.dilation!r}'::DOUBLE, {w.same})" for i, w in enumerate(draw_kernels(len(BANK), SEED)))
+)
+#: Rows of the file: numbered from 0 in order of the id.
+FILE = f"WITH s AS ({VEC}), n AS (SELECT row_number() OVER (ORDER BY series_id) - 1 AS series_id, label, x FROM s)"
+
+
 def oracle_sql() -> dict[str, str]:
     bank, small, ebank = BANK.sql_values("k"), SMALL.sql_values("k"), EVENT_BANK.sql_values("k")
     vec = f"WITH s AS ({VEC})"
@@ -187,6 +210,13 @@ def oracle_sql() -> dict[str, str]:
         "minibatch_assign": f"""SELECT vec_id AS series_id, vec_id // {TRANCHE} AS tranche,
 (row_number() OVER (PARTITION BY vec_id // {TRANCHE} ORDER BY (vec_id * 1103515245 + 12345) % 2147483648, vec_id) - 1) // {BATCH} AS minibatch FROM embeddings""",
         "kernel_bank": f"SELECT kernel_id, length, bias, dilation, padding FROM {bank}",
+        "kernel_from_draws": f"""WITH d AS (SELECT *, len(normals) AS length FROM {DRAWS}),
+k AS (SELECT *, greatest(1, floor(power(2, u_dilation * log2({LENGTH - 1}::DOUBLE / (length - 1)))))::INT AS dilation, list_reduce(normals, lambda a, b: a + b) / length AS mean FROM d)
+SELECT kernel_id, length::INT AS length, i::INT - 1 AS i, round(normals[i] - mean, 9) AS w, round(2 * u_bias - 1, 9) AS bias, dilation, CASE WHEN same THEN (length - 1) * dilation // 2 ELSE 0 END::INT AS padding
+FROM (SELECT *, unnest(range(1, length + 1)) AS i FROM k)""",
+        "series_text": f"{FILE} SELECT series_id, label, i::INT - 1 AS i, x[i] AS v FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM n)",
+        "series_csv_range": f"""{FILE} SELECT series_id, label, i::INT - 1 AS i, x[i] AS v
+FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM n WHERE series_id >= {HOLDOUT // 2} AND series_id < {HOLDOUT // 2 + HOLDOUT})""",
         "kernel_lengths_hist": f"SELECT length, count(*) AS n, sum(length)::BIGINT AS total FROM {bank} GROUP BY length",
         "kernel_weights_flat": f"SELECT kernel_id, i::INT - 1 AS i, weights[i] AS w FROM (SELECT *, unnest(range(1, length + 1)) AS i FROM {bank})",
         "kernel_span_max": f"SELECT length, max((length - 1) * dilation) AS span, max(dilation) AS dilation FROM {bank} GROUP BY length",
