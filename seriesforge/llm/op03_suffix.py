@@ -363,10 +363,10 @@ def repeated_ranges(src: DataFrame, n_bytes: int) -> DataFrame:
     src = src.where("doc_id is not null")
     buckets = min(max(bucket_count(src.sparkSession), -(-n_bytes // BUCKET_BYTES)), (1 << _BUCKET) - 1)
     blobs = src.mapInArrow(_send_anchors(buckets), "bucket long, kind int, blob binary")
-    found = blobs.groupBy("bucket").applyInPandas(_join_anchors, "doc_id long, row long, r long")
+    found = blobs.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_join_anchors, "doc_id long, row long, r long")
     lists = found.groupBy(*_ROW).agg(F.collect_list("r").alias("rs"))
     spans = src.join(lists.hint("shuffle_hash"), _ROW).mapInArrow(_send_spans, "bucket long, kind int, blob binary")
-    return spans.groupBy("bucket").applyInPandas(_join_spans, "doc_id long, row long, r long").groupBy(*_ROW).agg(F.collect_set("r").alias("rs"))
+    return spans.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_join_spans, "doc_id long, row long, r long").groupBy(*_ROW).agg(F.collect_set("r").alias("rs"))
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
