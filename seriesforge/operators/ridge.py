@@ -1,8 +1,10 @@
 """Ridge classifier with closed-form leave-one-out choice of the penalty.
 
 Targets are +-1 one-vs-rest, columns are centred and divided by their L2 norm,
-one penalty serves all classes. Two distributed routes give the same model:
+one penalty serves all classes. Three routes give the same model:
 
+* features of at most ``MAX_GATHERED`` bytes in all: the transform is distributed, the
+  features meet in the driver and are solved there;
 * rows <= features: the series (n x L, checked against ``max_block_bytes``)
   travel to tasks that each own a block of kernels; every task makes its feature
   block and adds its share of the n x n Gram matrix;
@@ -29,6 +31,8 @@ ALPHAS = tuple(10.0**e for e in np.linspace(-3, 3, 10))
 
 #: Bytes of shares that the driver takes at once; more are summed on executors first.
 MAX_COLLECTED = 1 << 29
+#: Bytes of features that the driver gathers; beyond, the Gram or moment matrix is added up on executors.
+MAX_GATHERED = 1 << 28
 
 
 @dataclass
@@ -109,12 +113,40 @@ def fit_ridge(
 ) -> RidgeModel:
     """Fit on ``series_id, label, x``; picks the route by the number of rows."""
     n = df.count()
+    if n * 16 * len(bank) <= MAX_GATHERED:
+        return _fit_gathered(df, bank, alphas)
     wide = n > 2 * len(bank)
     if not wide and n * bank.input_length * 8 > max_block_bytes:
         raise ValueError("too few kernels for the row route and too many rows for the kernel route")
     return (_fit_rows if wide else _fit_kernels)(df, bank, alphas, block)
 
 
+def _fit_gathered(df: DataFrame, bank: KernelBank, alphas: tuple[float, ...]) -> RidgeModel:
+    table = transform_wide(df.select("series_id", "label", "x"), bank).select("series_id", "label", "features").toArrow().combine_chunks()
+    order = np.argsort(table.column("series_id").to_numpy(), kind="stable")
+    x = table.column("features").combine_chunks().flatten().to_numpy().reshape(len(order), -1)[order]
+    classes, y = targets(table.column("label").to_numpy()[order])
+    z, mean, norm = _scaled(x)
+    yc = y - y.mean(axis=0)
+    if len(z) <= z.shape[1]:
+        values, q = spectrum(z @ z.T)
+        errors = loo_errors(values, q, y, alphas)
+        alpha = min(alphas, key=lambda a: errors[a])
+        w = z.T @ (q @ ((q.T @ yc) / (values + alpha)[:, None]))
+    else:
+        values, v = spectrum(z.T @ z)
+        u, errors = z @ v, {}
+        uy = u.T @ yc
+        for a in alphas:
+            rest = yc - u @ (uy / (values + a)[:, None])
+            leverage = (u * u) @ (1.0 / (values + a)) + 1.0 / len(z)
+            errors[a] = float(np.mean((rest / np.maximum(1.0 - leverage, 1e-12)[:, None]) ** 2))
+        alpha = min(alphas, key=lambda a: errors[a])
+        w = v @ (uy / (values + alpha)[:, None])
+    w = w / norm[:, None]
+    return RidgeModel(classes, w.T, y.mean(axis=0) - mean @ w, alpha, errors)
+
+
 def _fit_kernels(df: DataFrame, bank: KernelBank, alphas: tuple[float, ...], block: int) -> RidgeModel:
     spark = df.sparkSession
     rows = df.select("series_id", "label", "x").orderBy("series_id").toPandas()  # size checked by fit_ridge

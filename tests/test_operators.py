@@ -89,6 +89,19 @@ def test_ridge_routes_agree(spark, monkeypatch):
     assert all(np.isclose(a.loo_mse[v], b.loo_mse[v], rtol=1e-6) for v in ridge.ALPHAS)
 
 
+@pytest.mark.parametrize(("rows", "kernels"), [(50, 40), (90, 10)])
+def test_ridge_gathered_equals_distributed(spark, monkeypatch, rows, kernels):
+    from seriesforge.operators import ridge
+
+    x, y = classes(rows, kinds=3)
+    bank, df = make_kernels(64, kernels, 5), frame(spark, x, y)
+    a = ridge.fit_ridge(df, bank)
+    monkeypatch.setattr(ridge, "MAX_GATHERED", 0)
+    b = ridge.fit_ridge(df, bank)
+    assert a.alpha == b.alpha and np.allclose(a.coef, b.coef, atol=1e-6) and np.allclose(a.intercept, b.intercept, atol=1e-6)
+    assert all(np.isclose(a.loo_mse[v], b.loo_mse[v], rtol=1e-6) for v in ridge.ALPHAS)
+
+
 def test_softmax_trainer_learns(spark):
     x, y = classes(1200, kinds=3)
     valid, train = frame(spark, x[:200], y[:200]), frame(spark, x, y).where("series_id >= 200")
