@@ -11,8 +11,8 @@
    hash and sends one root a hash, so a hash that a third of all texts share is one
    row a task, and roots that meet under a hash are united. Within a family, blocks
    of bounded shingles compare full sets by a sparse matrix product. Families beyond one block
-   are compared by block representatives first; then every pair of different
-   blocks that still lies in different components is compared, so no link between
+   are compared by block representatives first; then texts that still share a band hash
+   with a text of another component are compared across blocks, so no link between
    components is lost, and members already linked are not compared again.
 4. Links are grouped by distributed union-find.
 
@@ -237,7 +237,8 @@ def near_duplicates(
     members = members.select(F.col("rep").alias("doc_id"), "family", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     members = materialise(members.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
     sets = materialise(src.join(members.select("doc_id"), "doc_id").mapInArrow(_sets(size), "doc_id long, shingles binary"))
-    links = _family_links(members, sets, num, den, block)
+    bands_of = reps.select(F.col("rep").alias("doc_id"), "bands")
+    links = _family_links(members, sets, bands_of, num, den, block)
     discard(members, sets)
     comp = connected_components(links).withColumnRenamed("node", "rep").withColumnRenamed("component", "root")
     text = ["d1", "d2", "n_shingles"]
@@ -248,10 +249,10 @@ def near_duplicates(
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
-def _family_links(members: DataFrame, sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
+def _family_links(members: DataFrame, sets: DataFrame, bands: DataFrame, num: int, den: int, block: int) -> DataFrame:
     """All links within families that join different components, and enough of the others.
 
-    ``members``: doc_id, family, blocks, block; ``sets``: doc_id, shingles. Tasks
+    ``members``: doc_id, family, blocks, block; ``sets``: doc_id, shingles; ``bands``: doc_id, bands. Tasks
     are planned on ids alone; sets join by document last and are dealt by the whole
     task key, so a family of many blocks is many tasks.
     """
@@ -272,8 +273,14 @@ def _family_links(members: DataFrame, sets: DataFrame, num: int, den: int, block
         reps = materialise(_relabel(big, links).where("doc_id = component").drop("block"))
         mixed = lookup(reps, "family", count(reps, "m")).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(salt + 1)), F.col("m")).cast("int"))
         links = links.unionByName(compare(side(mixed, 0), "family", "block"))
-    # the rest: every component but a family's largest against all other blocks
+    # the rest: texts under a band hash of several components, a family's largest component against the others
     nodes = materialise(_relabel(big, links))
+    keys = materialise(nodes.join(bands, "doc_id").select("doc_id", "component", F.explode("bands").alias("h")))
+    mixed = materialise(keys.groupBy("h").agg((F.min("component") < F.max("component")).alias("open")).where("open"))
+    if not mixed.limit(1).count():
+        return links
+    met = lookup(keys.select("doc_id", "h"), "h", mixed).where("open").select("doc_id").distinct()
+    nodes = materialise(nodes.join(met, "doc_id", "left_semi"))
     by = nodes.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
     top = by.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     open_ = materialise(lookup(nodes, "family", materialise(top)).where("top is not null"))
