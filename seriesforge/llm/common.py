@@ -7,9 +7,10 @@ bytes, not rows, so that long documents do not decide a worker's memory.
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -191,6 +192,18 @@ def shingle_sets(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(doc, np.arange(n + 1))
 
 
+def fitted(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object | None:
+    """What ``fit`` makes of a bounded sample, in one task: the driver holds the model, never the rows. None without rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(got)))], pa.binary())], names=["model"])
+
+    found = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
+
+
 def fold_of(column: str, folds: int) -> Column:
     """``crc32(id as text) mod folds``: the split of documents into training and held-out."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(folds))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesforge.llm.common import Words, sample_ids, shingle_sets, small_text_batches, steps, text_buffer
+from seriesforge.llm.common import Words, fitted, sample_ids, shingle_sets, small_text_batches, steps, text_buffer
 
 #: Documents of the sample that the scorer is trained on.
 SAMPLE = 5000
@@ -163,6 +163,10 @@ def expectation_maximisation(v: np.ndarray, count: np.ndarray, rounds: int = 200
     return model
 
 
+#: Features of the scorer.
+WIDTH = BINS + len(LABELLERS) * (len(EDGES) + 1)
+
+
 def hashed(texts: pa.Array, m: np.ndarray) -> np.ndarray:
     """(n, BINS + measures x bins) features: root shares of hashed shape trigrams, and measure bins."""
     raw, offs = text_buffer(texts)
@@ -230,20 +234,23 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     v = unpattern(np.array([r["code"] for r in counts], dtype=np.int64)) if counts else np.zeros((0, len(LABELLERS)), np.int64)
     labels = expectation_maximisation(v, np.array([r["n"] for r in counts], dtype=float))
     picked = sample_ids(docs.select(id_col), id_col, sample)  # at most `sample` ids to broadcast
-    rows = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).orderBy(id_col).select(text_col).collect()
-    width = BINS + len(LABELLERS) * (len(EDGES) + 1)
-    x, y = np.zeros((len(rows), width), dtype=np.float32), np.zeros(len(rows))
-    for at in range(0, len(rows), 100):
-        texts = pa.array([r[0] for r in rows[at : at + 100]], pa.string())
-        m = measures(texts)
-        x[at : at + 100], y[at : at + 100] = hashed(texts, m), labels.posterior(votes(m))
-    del rows
-    used = np.flatnonzero(x.any(axis=0))
-    x = x[:, used]
-    w = np.zeros(width + 1)
-    got = train_scorer(x, y)
-    w[used], w[-1] = got[:-1], got[-1]
-    return QualityModel(labels, w)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked.withColumnRenamed(id_col, "id")), "id")
+
+    def fit(table: pa.Table) -> np.ndarray:
+        table = table.sort_by([("id", "ascending"), ("text", "ascending")]).slice(0, sample).combine_chunks()  # repeated ids are more rows than ids
+        x, y = np.zeros((len(table), WIDTH), dtype=np.float32), np.zeros(len(table))
+        for at in range(0, len(table), 100):
+            texts = table.column("text").slice(at, 100).combine_chunks()
+            m = measures(texts)
+            x[at : at + 100], y[at : at + 100] = hashed(texts, m), labels.posterior(votes(m))
+        used = np.flatnonzero(x.any(axis=0))
+        w = np.zeros(WIDTH + 1)
+        got = train_scorer(x[:, used], y)
+        w[used], w[-1] = got[:-1], got[-1]
+        return w
+
+    w = fitted(rows, fit)
+    return QualityModel(labels, np.zeros(WIDTH + 1) if w is None else w)
 
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesforge.llm.common import fold_of, sample_ids, small_text_batches
+from seriesforge.llm.common import fitted, fold_of, sample_ids, small_text_batches
 
 #: Bounds of the labelled sample that the model is fitted on.
 MAX_TOXIC, MAX_ORDINARY = 2000, 4000
@@ -207,12 +207,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("y")).where("y in (0, 1)").where(fold_of("_id", folds) != 0)
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t"))
-    got = []
-    for y, most in ((1, MAX_TOXIC), (0, MAX_ORDINARY)):
-        picked = sample_ids(known.where(F.col("y") == y), "_id", most)  # at most `most` ids to broadcast
-        got += [(r["_id"], r["t"] or "", y) for r in texts.join(F.broadcast(picked), "_id").collect()]
-    got.sort(key=lambda r: r[0])
-    return fit(got, n.get(1, 0) / max(1, sum(n.values())))
+    picked = [sample_ids(known.where(F.col("y") == y), "_id", most).withColumn("y", F.lit(y)) for y, most in ((1, MAX_TOXIC), (0, MAX_ORDINARY))]
+    rows = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "_id")  # at most both bounds of ids to broadcast
+    share = n.get(1, 0) / max(1, sum(n.values()))
+
+    def run(table: pa.Table) -> Model:
+        ids, texts, ys = (table.column(c).to_pylist() for c in ("_id", "t", "y"))
+        return fit(sorted(zip(ids, (t or "" for t in texts), ys, strict=True)), share)
+
+    return fitted(rows.select("_id", "t", "y"), run) or fit([], share)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
