@@ -2,7 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and reread as the next stage's ``docs``. All but the last return the
-columns of ``documents``.
+columns of ``documents``, extra ones too.
+
+Null and empty texts have no marks and are not toxic; they have no words and go with the quality stage.
+Rows without an id pass near_dedup and suffix_dedup as they are; rows that share an id stay or
+go together in near_dedup and keep their own cuts in suffix_dedup. Ties go to the smallest id. Long texts are
+worked on whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
