@@ -46,3 +46,18 @@ def test_clean_documents_stay(spark, sf):
 def test_registered_queries():
     assert sorted(int(k[2:].split("_")[0]) for k in registry.queries()) == list(range(1, 11))
     assert zlib.crc32(b"0") % 10 in range(10) and set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_stages_on_odd_tables(spark, sf, docs, clashing):
+    clean = spark.read.parquet(f"{sf}/documents.parquet").limit(40).select("text").collect()
+    odd = [(k, r.text) for k, r in enumerate(clean)] + [(0, clean[0].text), (1, clean[5].text), (None, clean[2].text), (None, None), (900, None), (901, ""), (902, clean[3].text * 40)]
+    for table in (docs([]), docs(odd), clashing(odd)):
+        rows = table.count()
+        for name, stage in C.STAGES:
+            out = C.materialise(stage(spark, table, sf))
+            if name == "packing":
+                assert out.count() >= rows
+            else:
+                assert out.columns == table.columns and out.count() <= rows
+                rows = out.count() if name != "packing" else rows
+            table = out
