@@ -14,6 +14,7 @@ from pathlib import Path
 
 ROOT = str(Path(__file__).resolve().parent)
 sys.path.insert(0, ROOT)
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "4")  # beside Spark's own threads more of them wait for one another
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 from pyspark.sql import SparkSession  # noqa: E402
