@@ -238,3 +238,79 @@ def test_score_edge_tables(docs):
     x = L.score_texts(docs([(only_held, "a b")])).first()
     assert x.train_tokens == 0 and x.n_known == 0 and x.base_score == 0.0 and np.isfinite(x.score)
     assert L.score_texts(docs([(1, "a"), (1, "a")]).withColumn("batch", F.lit("x"))).count() == 2
+
+
+def test_rare_contexts_predict_by_all_their_pairs(docs):
+    rng = random.Random(9)
+    follow = {f"w{i}": [f"w{rng.randrange(60)}" for _ in range(2)] for i in range(60)}
+
+    def walk(n):
+        out = [f"w{rng.randrange(60)}"]
+        while len(out) < n:
+            out.append(rng.choice(follow[out[-1]]))
+        return out
+
+    rows = [(i, " ".join(walk(40))) for i in range(120)]
+    held = [i for i in range(1000, 3000) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    ws = walk(60)
+    rows += [(held[0], " ".join(ws)), (held[1], " ".join(sorted(ws)))]
+    by = {r.doc_id: r.score for r in L.score_texts(docs(rows), contexts=3).collect()}
+    assert by[held[0]] > by[held[1]] + 20  # all but three contexts are rare
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_rare_contexts_equal_brute_force(buckets):
+    import collections
+    from types import SimpleNamespace
+
+    import pandas as pd
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    every = np.append(rng.integers(1, 1 << 63, 40).astype(np.uint64), L.END)  # number 40 is the end
+    common = np.sort(every[:5])
+    shared = SimpleNamespace(value=L.Contexts(common, np.full(5, 9)))
+    texts, coded = [], []
+    for batch in range(3):
+        held = rng.random(12) < 0.3
+        of = [[*np.minimum(rng.geometric(0.1, k) - 1, 39), 40] for k in rng.integers(0, 9, 12)]
+        word, token = np.unique(np.concatenate(of), return_inverse=True)
+        info = pa.table({"doc": np.arange(12) + 100 * batch, "n": [len(t) for t in of], "held": held})
+        coded.append((batch, L.pack(word=every[word]), L.planes(token), L._table(info)))
+        texts += [(100 * batch + i, t, h) for i, (t, h) in enumerate(zip(of, held, strict=True))]
+    coded = pd.DataFrame(coded, columns=["batch", "words", "tokens", "docs"])
+    rare = [w for w in range(41) if every[w] not in common]
+    count = collections.Counter(p for _, t, h in texts if not h for p in zip([40, *t], t, strict=False) if p[0] in rare)
+    asked = pd.concat(L._rare_requests(buckets, shared)(iter([coded])))
+    merged = pd.concat([L._rare_merge(buckets, shared)(g) for _, g in asked.groupby("bucket")])
+    assert (merged["n1"].sum(), merged["n2"].sum()) == tuple(sum(c == k for c in count.values()) for k in (1, 2))
+    over, want = collections.Counter(), collections.Counter()
+    for bucket, blob in merged.loc[merged["batch"] == L.EXCESS, ["bucket", "words"]].itertuples(index=False):
+        v = L.unpack(blob)
+        assert (v["word"] % np.uint64(buckets) == bucket).all()
+        over.update(dict(zip(v["word"].tolist(), v["n"].tolist(), strict=True)))
+    for (_, w), c in count.items():
+        want[int(every[w])] += c - 1
+    assert +over == +want and sum(want.values())
+    g, d = rng.dirichlet(np.ones(41)), 0.6
+    totals = SimpleNamespace(value=L.Totals(100, 41, d, 0.4, shared.value))
+    for batch, words, tokens, docs in coded.itertuples(index=False):
+        one = pd.DataFrame([(batch, words, tokens, docs)], columns=coded.columns)
+        number = {int(h): k for k, h in enumerate(every)}
+        parts = next(iter(L._requests(buckets, shared)(iter([one]))))
+        rows = []
+        for r in parts.itertuples():
+            w = L.unpack(r.words)["word"]
+            p = np.log10([g[number[int(h)]] for h in w])
+            rows.append((r.bucket, L.pack(n=np.ones(len(w), np.uint32), p=p), L.pack(p=np.full(len(L.unpack(r.pairs)["n"]), -1.0)), False))
+        answers = pd.DataFrame(rows, columns=["bucket", "words", "pairs", "rare"])
+        mine = merged.loc[merged["batch"] == batch, ["bucket", "words", "pairs"]].assign(rare=True)
+        got = L._sums(buckets, totals)(one, pd.concat([answers, mine])).set_index("doc_id")["score"]
+        for i, t, _ in texts:
+            if i // 100 == batch:
+                score = 0.0
+                for u, w in zip([40, *t], t, strict=False):
+                    n, dishes = (sum(v for (x, _), c in count.items() if x == u for v in [k(c)]) for k in (int, bool))
+                    c = count[u, w]
+                    score += np.log10(((c - d if c else 0) + (L.STRENGTH + d * dishes) * g[w]) / (L.STRENGTH + n)) if u in rare else -1.0
+                assert abs(got[i] - score) < 1e-6
