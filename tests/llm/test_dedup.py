@@ -221,3 +221,23 @@ def test_lookups_beyond_the_broadcast_bound(spark, monkeypatch):
     rows = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 50), (None, 51)], "k long, i int")
     got = common.lookup(rows, "k", spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, v string"))
     assert {r.i: r.v for r in got.collect()} == {**dict.fromkeys(range(50), "a"), 50: "b", 51: None}
+
+
+def test_memory_of_a_suffix_task_is_bounded(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    text = rng.integers(97, 122, (1 << 24)).astype(np.uint8).tobytes().decode()
+    S.refined(np.zeros(200, np.uint8))
+    common.powers(1)
+    tracemalloc.start()
+    S.refined(np.frombuffer(text.encode()[: 1 << 21], np.uint8))
+    assert tracemalloc.get_traced_memory()[1] < 45 << 21  # 70 bytes a byte with np.unique
+    texts = [text[i : i + 4000] for i in range(0, len(text), 4000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": np.arange(len(texts)), "row": np.zeros(len(texts), np.int64), "text": texts})
+    tracemalloc.reset_peak()
+    sent = sum(b.num_rows for b in S._send_anchors(5)(batch.slice(at, 500) for at in range(0, len(texts), 500)))
+    assert sent and tracemalloc.get_traced_memory()[1] < 180 << 20
+    tracemalloc.stop()
