@@ -40,8 +40,12 @@ QUERY_EVERY = 50
 SCALES = (1.0, 2**-0.5, 0.5)
 KEYPOINTS, BITS, RADIUS = 48, 256, 12
 TABLES, KEY_BITS, VOTES = 12, 24, 3
-#: Images and queries of one comparison task, and meetings that it counts at a time.
-IMAGES, QUERIES, MEETINGS = 2048, 1024, 1 << 22
+#: Images and queries of one comparison task, and meetings that it counts at a time (a single query's at least).
+IMAGES, QUERIES, MEETINGS = 1024, 2048, 1 << 20
+#: Pairs of equally many matches whose similarities are tried together.
+PAIRS = 1024
+#: Images whose corners a query's are held against at a time (they fit a core's cache).
+GROUP = 512
 HAMMING, TOLERANCE, INLIERS = 60, 3.0, 8
 TURNS = 30
 
@@ -189,53 +193,124 @@ def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
     The bounds of ``consensus`` with some slack for rounding, so that a pair it confirms is never refused.
     """
-    n = a.shape[1]
+    n, limit = a.shape[1], np.float32((TOLERANCE * 1.01) ** 2)
     out = np.zeros(len(a), dtype=bool)
-    i, j = np.triu_indices(n, 1)
-    step = max(1, (1 << 20) // (len(i) * n))
-    for at in range(0, len(a), step):
-        p, q = a[at : at + step], b[at : at + step]
-        d, e = p[:, j] - p[:, i], q[:, j] - q[:, i]
-        dd = (d * d).sum(axis=2)
-        ratio = (e * e).sum(axis=2) / np.maximum(dd, 1e-6)
-        pair, k = np.nonzero((dd > 63.9) & (ratio > 0.159) & (ratio < 6.26))
-        d, e, dd, p, q = d[pair, k], e[pair, k], dd[pair, k], p[pair], q[pair]
-        re = ((d * e).sum(axis=1) / dd)[:, None]
-        im = ((d[:, 0] * e[:, 1] - d[:, 1] * e[:, 0]) / dd)[:, None]
-        row, k = np.arange(len(pair)), i[k]
-        x, y = p[..., 0] - p[row, k, 0][:, None], p[..., 1] - p[row, k, 1][:, None]
-        u = re * x - im * y - (q[..., 0] - q[row, k, 0][:, None])
-        v = re * y + im * x - (q[..., 1] - q[row, k, 1][:, None])
-        agree = (u * u + v * v < (TOLERANCE * 1.01) ** 2).sum(axis=1)
-        out[at + pair[agree >= INLIERS]] = True
+    for at in range(0, len(a), PAIRS):
+        ax, ay, bx, by = (np.ascontiguousarray(v[at : at + PAIRS, :, k].T) for v in (a, b) for k in (0, 1))  # (n, pairs)
+        hit, u, v, t = np.zeros(ax.shape[1], dtype=bool), np.empty_like(ax), np.empty_like(ax), np.empty_like(ax)
+        for i in range(n - 1):
+            x, y, p, q = ax - ax[i], ay - ay[i], bx - bx[i], by - by[i]
+            dd = x * x + y * y
+            inverse = 1 / np.maximum(dd, np.float32(1e-6))
+            ratio = (p * p + q * q) * inverse
+            re, im = (x * p + y * q) * inverse, (x * q - y * p) * inverse
+            ok = (dd > 63.9) & (ratio > 0.159) & (ratio < 6.26) & ~hit
+            for j in range(i + 1, n):
+                if not ok[j].any():
+                    continue
+                np.multiply(re[j], x, out=u)
+                np.multiply(im[j], y, out=t)
+                u -= t
+                u -= p
+                np.multiply(re[j], y, out=v)
+                np.multiply(im[j], x, out=t)
+                v += t
+                v -= q
+                u *= u
+                v *= v
+                u += v
+                hit |= ok[j] & ((u < limit).view(np.uint8).sum(axis=0, dtype=np.uint8) >= INLIERS)
+        out[at : at + PAIRS] = hit
     return out
 
 
-def promising(q: tuple[np.ndarray, np.ndarray], x: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Positions of the images that ``compare`` may confirm for a query; only pairs it refuses are left out."""
+class Described:
+    """Descriptors and points of images, those with equally many corners side by side in groups of ``GROUP``."""
+
+    def __init__(self, x: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        size = np.array([len(d) for _, d in x], dtype=np.int64)
+        self.groups = []
+        for n in np.unique(size):
+            every = np.flatnonzero(size == n)
+            for at in range(0, len(every), GROUP):
+                own = every[at : at + GROUP]
+                words = np.stack([x[k][1] for k in own]).view(np.uint64)
+                self.groups.append((own, np.ascontiguousarray(words.transpose(2, 1, 0)), np.stack([x[k][0][:, :2] for k in own])))
+
+
+def _nearest(mine: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nearest corner of each image to each of the query's, its distance, and nearest of the query's to it (the first of equals).
+
+    mine: (corners, words); other: (words, corners, images). Distances beyond 64 may be one short (256 would not fit a byte).
+    """
+    _, n, images = other.shape
+    tmp, far, count = np.empty((n, images), np.uint64), np.empty((n, images), np.uint8), np.empty((n, images), np.uint8)
+    code, best = np.empty((n, images), np.uint16), np.full((n, images), np.iinfo(np.uint16).max, np.uint16)
+    ab, j = np.empty((len(mine), images), np.uint16), np.arange(n, dtype=np.uint16)[:, None]
+    for i, words in enumerate(mine):
+        np.bitwise_xor(other[0], words[0], out=tmp)
+        np.bitwise_count(tmp, out=far)
+        for w in range(1, len(words)):
+            np.bitwise_xor(other[w], words[w], out=tmp)
+            np.bitwise_count(tmp, out=count)
+            if w == len(words) - 1:
+                np.minimum(count, 63, out=count)
+            np.add(far, count, out=far)
+        code[...] = far
+        code <<= 6  # distance, then place
+        code += np.uint16(i)
+        np.minimum(best, code, out=best)
+        code += j - np.uint16(i)
+        code.min(axis=0, out=ab[i])
+    return ab & 63, ab >> 6, best & 63
+
+
+def _matches(q: tuple[np.ndarray, np.ndarray], x: Described, met: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Images of the mask ``met`` with ``INLIERS`` mutual matches or more, by their number: positions, and matched points of both."""
     kp, desc = q
-    found, size = [], np.array([len(d) for _, d in x], dtype=np.int64)
-    for n in np.unique(size):  # images with equally many corners together
-        every = np.flatnonzero(size == n)
-        for at in range(0, len(every), 256):
-            own = every[at : at + 256]
-            other = np.stack([x[k][1] for k in own]).view(np.uint64)
-            mine = desc.view(np.uint64)
-            far = np.zeros((len(own), len(desc), n), dtype=np.uint16)
-            for w in range(BITS // 64):
-                far += np.bitwise_count(mine[None, :, None, w] ^ other[:, None, :, w])
-            ab, ba = far.argmin(axis=2), np.ascontiguousarray(far.transpose(0, 2, 1)).argmin(axis=2)
-            near = np.take_along_axis(far, ab[..., None], axis=2)[..., 0]
-            good = (np.take_along_axis(ba, ab, axis=1) == np.arange(len(desc))) & (near <= HAMMING)
-            n_good = good.sum(axis=1)
-            points = np.stack([x[k][0][:, :2] for k in own])
-            for m in np.unique(n_good[n_good >= INLIERS]):
-                of = np.flatnonzero(n_good == m)
-                row, i = np.nonzero(good[of])
-                a = kp[i, :2].reshape(len(of), m, 2)
-                b = points[of[row], ab[of[row], i]].reshape(len(of), m, 2)
-                found.append(own[of[_agreeing(a, b)]])
-    return np.sort(np.concatenate([np.zeros(0, np.int64), *found]))
+    mine = desc.view(np.uint64)
+    for own, other, points in x.groups:
+        pick = np.flatnonzero(met[own])
+        if not len(pick):
+            continue
+        if len(pick) < len(own):
+            own, other, points = own[pick], np.ascontiguousarray(other[:, :, pick]), points[pick]
+        ab, near, ba = _nearest(mine, other)
+        good = (np.take_along_axis(ba, ab.astype(np.int64), axis=0) == np.arange(len(mine))[:, None]) & (near <= HAMMING)
+        n_good, good, ab = good.sum(axis=0), good.T, ab.T
+        for m in np.unique(n_good[n_good >= INLIERS]):
+            of = np.flatnonzero(n_good == m)
+            row, i = np.nonzero(good[of])
+            yield int(m), own[of], kp[i, :2].reshape(len(of), m, 2), points[of[row], ab[of[row], i]].reshape(len(of), m, 2)
+
+
+def confirmable(asked: Iterator[tuple[int, tuple[np.ndarray, np.ndarray], np.ndarray]], x: Described) -> Iterator[tuple[int, int]]:
+    """(query, image) positions that ``compare`` may confirm; only pairs it refuses are left out.
+
+    ``asked``: position, corners and mask of images of each query. Pairs of equally many matches wait for one another.
+    """
+    held: dict[int, list] = {}
+    size: dict[int, int] = {}
+
+    def flush(m: int) -> Iterator[tuple[int, int]]:
+        query, own, a, b = (np.concatenate(v) for v in zip(*held.pop(m), strict=True))
+        may = _agreeing(a, b)
+        yield from zip(query[may].tolist(), own[may].tolist(), strict=True)
+
+    for at, q, met in asked:
+        for m, own, a, b in _matches(q, x, met):
+            held.setdefault(m, []).append((np.full(len(own), at), own, a, b))
+            size[m] = size.get(m, 0) + len(own)
+            if size[m] >= PAIRS:
+                size[m] = 0
+                yield from flush(m)
+    for m in list(held):
+        yield from flush(m)
+
+
+def promising(q: tuple[np.ndarray, np.ndarray], x: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Positions of the images that ``compare`` may confirm for a query."""
+    return np.array(sorted(j for _, j in confirmable(iter([(0, q, np.ones(len(x), dtype=bool))]), Described(x))), dtype=np.int64)
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,9 +356,13 @@ def candidates(q: list[tuple[np.ndarray, np.ndarray]], x: list[tuple[np.ndarray,
         to = max(at + 1, int(np.searchsorted(upto, upto[at] + MEETINGS, "right")) - 1)
         part = slice(ends[at], ends[to])
         n = hi[part] - lo[part]
-        met = np.repeat(qo[part], n) * len(x) + xo[np.repeat(lo[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        pair, votes = np.unique(met, return_counts=True)
-        found.append(pair[votes >= VOTES])
+        met = np.repeat((qo[part] - at) * len(x), n) + xo[np.repeat(lo[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        if len(met) * 8 > (to - at) * len(x):
+            pair = np.flatnonzero(np.bincount(met, minlength=1) >= VOTES)
+        else:  # few meetings of many pairs
+            pair, votes = np.unique(met, return_counts=True)
+            pair = pair[votes >= VOTES]
+        found.append(pair + at * len(x))
         at = to
     pair = np.concatenate([np.zeros(0, np.int64), *found])
     return pair // max(1, len(x)), pair % max(1, len(x))
@@ -296,13 +375,19 @@ def _search(pdf: pd.DataFrame) -> pd.DataFrame:
     q, x = ([_unblob(b) for b in pdf["blob"][m]] for m in (asked, ~asked))
     rows = []
     asks, has = candidates(q, x)
-    for i in np.unique(asks):
-        met = has[asks == i]
-        for j in met[promising(q[i], [x[j] for j in met])]:
-            if qid[i] != xid[j]:
-                found = compare(*q[i], *x[j])
-                if found[1] >= INLIERS:
-                    rows.append((qid[i], xid[j], *found))
+    described, ends = Described(x), np.searchsorted(asks, np.arange(len(q) + 1))  # pairs come by query
+
+    def asked_of() -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray], np.ndarray]]:
+        for i in np.flatnonzero(np.diff(ends)).tolist():
+            met = np.zeros(len(x), dtype=bool)
+            met[has[ends[i] : ends[i + 1]]] = True
+            yield i, q[i], met
+
+    for i, j in confirmable(asked_of(), described):
+        if qid[i] != xid[j]:
+            found = compare(*q[i], *x[j])
+            if found[1] >= INLIERS:
+                rows.append((qid[i], xid[j], *found))
     return pd.DataFrame(rows, columns=["query_rep", "match_rep", "n_matches", "n_inliers", "scale", "turn"])
 
 
@@ -327,7 +412,8 @@ def find_copies(media: DataFrame, id_col: str = "image_id", image_col: str = "im
     x = index.select("rep", "blob", F.lit(1).alias("side"), deal(blocks, 1).alias("block"), every_one(chunks).alias("chunk"))
     q = index.where("asked = 1").select("rep", "blob", F.lit(0).alias("side"), every_one(blocks).alias("block"), deal(chunks, 2).alias("chunk"))
     schema = "query_rep long, match_rep long, n_matches long, n_inliers long, scale double, turn double"
-    seen = x.unionByName(q.select(x.columns)).groupBy("block", "chunk").applyInPandas(_search, schema)
+    both = x.unionByName(q.select(x.columns)).repartition(max(bucket_count(media.sparkSession), blocks * chunks), "block", "chunk")
+    seen = both.groupBy("block", "chunk").applyInPandas(_search, schema)
     copies = seen.withColumnsRenamed({"query_rep": "query_id", "match_rep": "match_id"}).select(F.lit("copy").alias("kind"), "*")
     none = {"n_matches": F.lit(None).cast("bigint"), "n_inliers": F.lit(None).cast("bigint"), "scale": F.lit(None).cast("double"), "turn": F.lit(None).cast("double")}
     members = member.select(F.lit("member").alias("kind"), F.col("image_id").alias("query_id"), F.col("rep").alias("match_id")).withColumns(none)

@@ -56,3 +56,25 @@ def test_comparison_refuses_only_what_compare_refuses(monkeypatch):
     whole = I.candidates(x[:12], x)
     monkeypatch.setattr(I, "MEETINGS", 50)  # a query at a time
     assert all((a == b).all() for a, b in zip(whole, I.candidates(x[:12], x), strict=True))
+
+
+def test_batched_comparison_equals_pair_by_pair_and_is_fast(monkeypatch):
+    import time
+
+    rng = np.random.default_rng(12)
+    images = [I.render(rng.normal(size=64)) for _ in range(120)]
+    x = [I.keypoints(I.decode(b)) for a in images for b in (a, strongly_edited(a, rng))]
+    flat = np.array([[0] * 32, [255] * 32, [0] * 31 + [1]], np.uint8)
+    ab, near, ba = I._nearest(flat.view(np.uint64), np.ascontiguousarray(flat[None, :2].view(np.uint64).transpose(2, 1, 0)))
+    assert (ab[:, 0].tolist(), near[:, 0].tolist(), ba[:, 0].tolist()) == ([0, 1, 0], [0, 0, 1], [0, 1])  # 256 bits apart is not 0
+    monkeypatch.setattr(I, "PAIRS", 7)
+    monkeypatch.setattr(I, "GROUP", 50)
+    every = np.ones(len(x), dtype=bool)
+    got = {(i, j) for i, j in I.confirmable(((i, x[i], every) for i in range(10)), I.Described(x)) if I.compare(*x[i], *x[j])[1] >= I.INLIERS}
+    assert got == {(i, j) for i in range(10) for j in range(len(x)) if I.compare(*x[i], *x[j])[1] >= I.INLIERS} and len(got) >= 20
+    monkeypatch.undo()
+    blobs = [k.tobytes() + d.tobytes() for k, d in x]
+    table = I.pd.DataFrame({"side": [0] * 120 + [1] * 240, "rep": [*range(0, 240, 2), *range(240)], "blob": blobs[::2] + blobs})
+    at = time.process_time()
+    found = I._search(table)
+    assert len(found) >= 100 and (time.process_time() - at) / (120 * 240) < 35e-6  # 44 before
