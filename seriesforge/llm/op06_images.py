@@ -23,10 +23,15 @@ result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager, suppress
+from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -42,10 +47,16 @@ KEYPOINTS, BITS, RADIUS = 48, 256, 12
 TABLES, KEY_BITS, VOTES = 12, 24, 3
 #: Images and queries of one comparison task, and meetings that it counts at a time (a single query's at least).
 IMAGES, QUERIES, MEETINGS = 1024, 2048, 1 << 20
+#: Tasks that describe images, where a shuffle has fewer but a quarter of them at least.
+DEALT = 64
 #: Pairs of equally many matches whose similarities are tried together.
-PAIRS = 1024
-#: Images whose corners a query's are held against at a time (they fit a core's cache).
-GROUP = 512
+PAIRS = 2048
+#: Images whose corners a query's are held against at a time.
+GROUP = 1024
+#: Images and queries of one matrix product, queries whose distances are searched and pairs whose matches are sorted together.
+SIDE_BY_SIDE, ASKED, AT_A_TIME, SORTED = 64, 64, 2, 16384
+#: Matches of pairs that wait for others with equally many; so few pairs are left to ``compare``.
+WAITING, FEW = 1 << 18, 16
 HAMMING, TOLERANCE, INLIERS = 60, 3.0, 8
 TURNS = 30
 
@@ -224,6 +235,47 @@ def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _possible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether two matches of each pair may be the first of ``INLIERS`` that one similarity explains; a, b: (pairs, n, 2) points.
+
+    Matches p and l of a similarity f lie within ``2 * TOLERANCE`` of f (a_l - a_p) = b_l - b_p, so f is in a disc
+    for each l, and the discs of all its matches, and the squares around them, meet. Few p and k can be the first two of ``INLIERS``. Refuses no more than ``_agreeing``.
+    """
+    n, reach, out = a.shape[1], np.float32(2 * TOLERANCE * 1.01), np.zeros(len(a), dtype=bool)
+    last = n - INLIERS + 1  # that many matches can be the first
+    whole, bits = np.empty((9, n, min(PAIRS, len(a))), np.float32), np.empty((2, n, min(PAIRS, len(a))), bool)  # memory is touched once
+    for at in range(0, len(a), PAIRS):
+        ax, ay, bx, by = (np.ascontiguousarray(z[at : at + PAIRS, :, k].T) for z in (a, b) for k in (0, 1))  # (n, pairs)
+        hit = np.zeros(ax.shape[1], dtype=bool)
+        for p in range(last):
+            x, y, u, v, re, im, size, s, t = whole[:, : n - p - 1, : len(hit)]
+            for z, of in ((x, ax), (y, ay), (u, bx), (v, by)):
+                np.subtract(of[p + 1 :], of[p], out=z)
+            np.multiply(x, x, out=s)
+            np.multiply(y, y, out=t)
+            s += t
+            np.maximum(s, np.float32(1e-6), out=s)
+            np.divide(np.float32(1), s, out=size)
+            for z, one, two, add in ((re, (x, u), (y, v), np.add), (im, (x, v), (y, u), np.subtract)):
+                np.multiply(*one, out=s)
+                np.multiply(*two, out=t)
+                add(s, t, out=z)
+                z *= size
+            np.sqrt(size, out=size)
+            size *= reach
+            left, right, low, high = x, y, u, v  # squares around the discs
+            for z, edge, centre in ((left, np.subtract, re), (right, np.add, re), (low, np.subtract, im), (high, np.add, im)):
+                edge(centre, size, out=z)
+            for k in range(last - p):
+                ok, t = bits[:, : n - p - k - 2, : len(hit)]
+                np.less_equal(left[k + 1 :], right[k], out=ok)
+                for z, edge, other in ((right, np.greater_equal, left), (low, np.less_equal, high), (high, np.greater_equal, low)):
+                    ok &= edge(z[k + 1 :], other[k], out=t)
+                hit |= np.add.reduce(ok.view(np.uint8), axis=0, dtype=np.uint8) >= INLIERS - 2
+        out[at : at + PAIRS] = hit
+    return out
+
+
 class Described:
     """Descriptors and points of images, those with equally many corners side by side in groups of ``GROUP``."""
 
@@ -265,11 +317,11 @@ def _nearest(mine: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return ab & 63, ab >> 6, best & 63
 
 
-def _matches(q: tuple[np.ndarray, np.ndarray], x: Described, met: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _matches(q: tuple[np.ndarray, np.ndarray], groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]], met: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Images of the mask ``met`` with ``INLIERS`` mutual matches or more, by their number: positions, and matched points of both."""
     kp, desc = q
     mine = desc.view(np.uint64)
-    for own, other, points in x.groups:
+    for own, other, points in groups:
         pick = np.flatnonzero(met[own])
         if not len(pick):
             continue
@@ -284,28 +336,188 @@ def _matches(q: tuple[np.ndarray, np.ndarray], x: Described, met: np.ndarray) ->
             yield int(m), own[of], kp[i, :2].reshape(len(of), m, 2), points[of[row], ab[of[row], i]].reshape(len(of), m, 2)
 
 
+@cache
+def _blas():
+    """Reads and sets the threads of numpy's OpenBLAS, or None where it has another BLAS."""
+    for path in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):
+        for name in ("scipy_openblas_{}_num_threads64_", "openblas_{}_num_threads64_", "openblas_{}_num_threads"):
+            with suppress(OSError, AttributeError):
+                lib = ctypes.CDLL(str(path))
+                return getattr(lib, name.format("get")), getattr(lib, name.format("set"))
+    return None
+
+
+@contextmanager
+def one_thread() -> Iterator[None]:
+    """Small products: more threads would wait on cores that other tasks use."""
+    get, put = _blas() or (lambda: 1, lambda _: None)
+    before = get()
+    if before > 1:
+        put(1)
+    try:
+        yield
+    finally:
+        if before > 1:
+            put(before)
+
+
+def _planes(other: np.ndarray) -> np.ndarray:
+    """Bits of the corners of images, (words, corners, images), as a matrix of a row a bit."""
+    octets = np.ascontiguousarray(other.transpose(1, 2, 0)).view(np.uint8).reshape(-1, BITS // 8)
+    return np.unpackbits(octets, axis=1).astype(np.float32).T
+
+
+def _packed(desc: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose product with ``_planes``, with a number added, holds the distances of three corners 256 apart; a missing corner is 255 from all."""
+    bits, add = np.zeros((3 * rows, BITS), np.float32), np.full(3 * rows, 255, np.int32)
+    own = np.unpackbits(desc, axis=1)
+    bits[: len(own)], add[: len(own)] = 1 - 2 * own.astype(np.float32), own.sum(axis=1)
+    return np.einsum("rlk,l->rk", bits.reshape(rows, 3, -1), np.array([1, 256, 65536], np.float32)), add.reshape(rows, 3) @ np.array([1, 256, 65536], np.int32)
+
+
+def _exact(q: list[tuple[np.ndarray, np.ndarray]], x: Described) -> np.ndarray:
+    """Queries whose distances to all images are exact in ``_packed``: below 256, and no sum of a product beyond 2 ** 24."""
+    desc = np.concatenate([np.zeros((0, BITS // 64), np.uint64), *(d.view(np.uint64) for _, d in q)])
+    weight = np.bitwise_count(desc).sum(axis=1, dtype=np.int64)
+    odd = (weight < 2) | (weight > BITS - 2)
+    for _, other, _ in x.groups:
+        odd |= np.isin(~desc[:, 0], other[0])
+    out = np.ones(len(q), dtype=bool)
+    out[np.repeat(np.arange(len(q)), [len(d) for _, d in q])[odd]] = False
+    return out
+
+
+def _mutual(q: list[tuple[np.ndarray, np.ndarray]], other: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Matches of all queries and images: first query, first image, and matches as query, image, corners (6 bits each).
+
+    All mutual matches within ``HAMMING`` bits, and those that tie with them.
+    """
+    _, n, images = other.shape
+    rows = -(-max(len(d) for _, d in q) // 3)
+    packed = [tuple(np.concatenate(v) for v in zip(*(_packed(d, rows) for _, d in q[k : k + ASKED]), strict=True)) for k in range(0, len(q), ASKED)]
+    step, most = rows * n * min(images, SIDE_BY_SIDE), min(len(q), AT_A_TIME) * rows * n * min(images, SIDE_BY_SIDE)
+    product = np.empty(min(len(q), ASKED) * step, np.float32)  # memory is touched once, and a core's cache holds the rest
+    whole, limit, equal, some = np.empty(most, np.int32), np.empty(4 * most, np.uint8), np.empty(4 * most + 7, bool), np.empty(most // 2 + 1, bool)
+    place: dict[int, np.ndarray] = {}  # query, image and corners of each byte
+    for at in range(0, images, SIDE_BY_SIDE):
+        bits = _planes(other[:, :, at : at + SIDE_BY_SIDE])
+        g = bits.shape[1] // n
+        if g not in place:
+            query, row, j, image, lane = np.ogrid[:AT_A_TIME, :rows, :n, :g, :4]
+            place = {g: ((query * SIDE_BY_SIDE + image) << 12 | (3 * row + lane) << 6 | j).ravel()}
+        for k, (a, add) in enumerate(packed):
+            every = product[: len(a) * n * g]
+            with one_thread():
+                np.matmul(a, bits, out=every.reshape(len(a), n * g))
+            for some_of in range(0, len(a) // rows, AT_A_TIME):
+                part = every[some_of * rows * n * g :][: AT_A_TIME * rows * n * g]
+                size = 4 * len(part)
+                np.copyto(whole[: len(part)], part, casting="unsafe")
+                far = whole[: len(part)].reshape(-1, n * g)
+                far += add[some_of * rows :][: len(far), None]
+                d = far.view(np.uint8).reshape(-1, rows, n, g, 4)
+                least, best = d.min(axis=2, keepdims=True), d.min(axis=1, keepdims=True)
+                best = np.minimum(np.minimum(best[..., 0], best[..., 1]), best[..., 2])
+                for z in (least, best):  # beyond them is no match
+                    z += 1
+                    z *= z <= HAMMING + 1
+                best = (best * np.uint32(0x010101)).view(np.uint8).reshape(-1, 1, n, g, 4)  # the fourth byte of d is 0, and never below 0
+                np.less(d, np.minimum(least, best, out=limit[:size].reshape(d.shape)), out=equal[:size].reshape(d.shape))
+                end = -(-size // 8)
+                equal[size : 8 * end] = False
+                words = equal[: 8 * end].view(np.uint64)  # eight bytes at a time: few hold a match
+                hold = np.flatnonzero(np.not_equal(words, 0, out=some[:end]))
+                hit = np.flatnonzero(words[hold].view(bool))
+                yield k * ASKED + some_of, at, place[g][hold[hit >> 3] * 8 + (hit & 7)]
+
+
+def _crowd(
+    asked: list[tuple[int, tuple[np.ndarray, np.ndarray], np.ndarray]], own: np.ndarray, other: np.ndarray, points: np.ndarray
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """What ``_matches`` gives, of queries that met most images of a group, with the position of each pair's query.
+
+    Of matches that tie more may stay than ``compare`` counts.
+    """
+    at_query, met = np.array([at for at, _, _ in asked]), np.stack([m[own] for _, _, m in asked]).ravel()
+    most, n = max(len(d) for _, (_, d), _ in asked), other.shape[1]
+    flat = lambda kp: np.ascontiguousarray(kp, np.float32).view(np.complex64).ravel()
+    mine = flat(np.stack([np.pad(kp[:, :2], ((0, most - len(kp)), (0, 0))) for _, (kp, _), _ in asked]))
+    theirs = flat(points)
+    held: list[np.ndarray] = []
+    pairs = 0
+
+    def sort() -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        code = np.sort(np.concatenate(held))
+        held.clear()
+        first = np.ones(len(code), dtype=bool)
+        np.not_equal(code[1:] >> 6, code[:-1] >> 6, out=first[1:])  # a query's corner matches the first of equals
+        code = code[first]
+        starts = np.flatnonzero(np.concatenate([[True], code[1:] >> 12 != code[:-1] >> 12])) if len(code) else np.zeros(0, np.int64)
+        count, pair = np.diff(starts, append=len(code)), code[starts] >> 12
+        ok = met[pair] & (count >= INLIERS)
+        starts, count, pair = starts[ok], count[ok], pair[ok]
+        query, image = np.divmod(pair, len(own))
+        order = np.argsort(count, kind="stable")
+        ends = np.searchsorted(count[order], np.arange(INLIERS, most + 2))
+        for m, lo, hi in zip(range(INLIERS, most + 1), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            if lo < hi:
+                of = order[lo:hi]
+                c = code[starts[of][:, None] + np.arange(m)]
+                a, b = mine[query[of][:, None] * most + (c >> 6 & 63)], theirs[image[of][:, None] * n + (c & 63)]
+                yield m, at_query[query[of]], own[image[of]], a.view(np.float32).reshape(-1, m, 2), b.view(np.float32).reshape(-1, m, 2)
+
+    for first_query, first_image, code in _mutual([q for _, q, _ in asked], other):
+        query, image = np.divmod(code >> 12, SIDE_BY_SIDE)
+        held.append(((query + first_query) * len(own) + image + first_image) << 12 | code & 4095)
+        pairs += AT_A_TIME * SIDE_BY_SIDE
+        if pairs >= SORTED:
+            pairs = 0
+            yield from sort()
+    if held:
+        yield from sort()
+
+
 def confirmable(asked: Iterator[tuple[int, tuple[np.ndarray, np.ndarray], np.ndarray]], x: Described) -> Iterator[tuple[int, int]]:
     """(query, image) positions that ``compare`` may confirm; only pairs it refuses are left out.
 
     ``asked``: position, corners and mask of images of each query. Pairs of equally many matches wait for one another.
+    Queries that met half of a group's images or more are held against all of it at once.
     """
-    held: dict[int, list] = {}
-    size: dict[int, int] = {}
-
-    def flush(m: int) -> Iterator[tuple[int, int]]:
-        query, own, a, b = (np.concatenate(v) for v in zip(*held.pop(m), strict=True))
-        may = _agreeing(a, b)
-        yield from zip(query[may].tolist(), own[may].tolist(), strict=True)
-
-    for at, q, met in asked:
-        for m, own, a, b in _matches(q, x, met):
-            held.setdefault(m, []).append((np.full(len(own), at), own, a, b))
-            size[m] = size.get(m, 0) + len(own)
-            if size[m] >= PAIRS:
-                size[m] = 0
-                yield from flush(m)
-    for m in list(held):
-        yield from flush(m)
+    fresh, likely = defaultdict(list), defaultdict(list)
+
+    def taken(held: dict[int, list], m: int, least: int) -> list[np.ndarray]:
+        """All pairs of m matches that wait, once they are ``least``."""
+        return [np.concatenate(v) for v in zip(*held.pop(m), strict=True)] if m in held and sum(len(v[0]) for v in held[m]) >= least else []
+
+    def screen(m: int, least: int) -> Iterator[tuple[int, int]]:
+        if pairs := taken(fresh, m, least):
+            may = _possible(*pairs[2:]) if len(pairs[0]) > FEW else slice(None)
+            likely[m].append([v[may] for v in pairs])
+        if not (pairs := taken(likely, m, least)):
+            return
+        for order in (np.arange(m)[::-1], np.argsort(np.arange(m) * 5 % 7, kind="stable"), None):  # other discs in another order
+            if len(pairs[0]) > FEW:
+                may = _agreeing(*pairs[2:]) if order is None else _possible(*(v[:, order] for v in pairs[2:]))
+                pairs = [v[may] for v in pairs]
+        yield from zip(pairs[0].tolist(), pairs[1].tolist(), strict=True)
+
+    def found() -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        every = list(asked)
+        exact = _exact([q for _, q, _ in every], x)
+        for group in x.groups:
+            dense = [e and 2 * met[group[0]].sum() >= len(group[0]) for e, (_, _, met) in zip(exact, every, strict=True)]
+            if any(dense):
+                yield from _crowd([one for one, d in zip(every, dense, strict=True) if d], *group)
+            for (at, q, met), d in zip(every, dense, strict=True):
+                if not d:
+                    for m, own, a, b in _matches(q, [group], met):
+                        yield m, np.full(len(own), at), own, a, b
+
+    for m, *pairs in found():
+        fresh[m].append(pairs)
+        yield from screen(m, WAITING // m)
+    for m in [*{*fresh, *likely}]:
+        yield from screen(m, 0)
 
 
 def promising(q: tuple[np.ndarray, np.ndarray], x: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -347,8 +559,8 @@ def candidates(q: list[tuple[np.ndarray, np.ndarray]], x: list[tuple[np.ndarray,
     found = []
     qk, qo = _postings(q)
     order = np.argsort(qo, kind="stable")
-    qk, qo = qk[order], qo[order]
-    lo, hi = np.searchsorted(xk, qk, "left"), np.searchsorted(xk, qk, "right")
+    lo, hi = (np.searchsorted(xk, qk, side)[order] for side in ("left", "right"))  # sorted keys are found faster
+    qo = qo[order]
     ends = np.searchsorted(qo, np.arange(len(q) + 1))
     upto = np.concatenate([[0], np.cumsum(hi - lo)])[ends]  # meetings before each query
     at = 0
@@ -399,7 +611,8 @@ def find_copies(media: DataFrame, id_col: str = "image_id", image_col: str = "im
     representative's, and their members.
     """
     src = media.select(F.col(id_col).cast("bigint").alias("image_id"), F.col(image_col).alias("image")).where("image is not null and image_id is not null")
-    dealt = src.repartition(4 * bucket_count(media.sparkSession))  # describing takes most of the time: no task of many images
+    buckets = bucket_count(media.sparkSession)
+    dealt = src.repartition(max(buckets, min(4 * buckets, DEALT)))  # describing takes long: no task of many images
     described = materialise(dealt.mapInArrow(_describe, "image_id long, k binary, blob binary"))
     ask = F.max((F.pmod("image_id", F.lit(every)) == 0).cast("int")).alias("asked")
     index = materialise(described.groupBy("k").agg(F.min("image_id").alias("rep"), F.first("blob").alias("blob"), F.count(F.lit(1)).alias("images"), ask))

@@ -78,3 +78,36 @@ def test_batched_comparison_equals_pair_by_pair_and_is_fast(monkeypatch):
     at = time.process_time()
     found = I._search(table)
     assert len(found) >= 100 and (time.process_time() - at) / (120 * 240) < 35e-6  # 44 before
+
+
+def test_few_pairs_need_all_similarities_and_odd_descriptors_count(monkeypatch):
+    rng = np.random.default_rng(13)
+    images = [I.render(rng.normal(size=64)) for _ in range(60)]
+    x = [I.keypoints(I.decode(b)) for a in images for b in (a, strongly_edited(a, rng))]
+    kp, d = x[0]
+    flat = np.repeat(np.array([[0] * 32, [255] * 32], np.uint8), 6, axis=0)  # 256 bits apart, and 6 equal
+    x += [(kp[:9], d[:9]), (kp[:31], d[:31]), (kp, ~d), (kp[:12], flat), (kp[:12], flat[::-1].copy()), (kp, np.repeat(d[:4], 12, axis=0))]
+    q = [*x[:20], *x[-6:]]
+    whole, tried = I._agreeing, []
+    monkeypatch.setattr(I, "_agreeing", lambda a, b: tried.append(len(a)) or whole(a, b))
+    every = np.ones(len(x), dtype=bool)
+    some = rng.random((len(q), len(x))) < 0.7
+    for asked in ([every] * len(q), some, some & (rng.random(some.shape) < 0.5)):  # met by all, most and few
+        tried.clear()
+        want = {(i, j) for i in range(len(q)) for j in np.flatnonzero(asked[i]).tolist() if I.compare(*q[i], *x[j])[1] >= I.INLIERS}
+        got = set(I.confirmable(((i, q[i], asked[i]) for i in range(len(q))), I.Described(x)))
+        assert want <= got and len(want) >= 10
+        assert all(asked[i][j] for i, j in got)
+        assert sum(tried) < 0.1 * sum(m.sum() for m in asked)  # nearly all before
+
+
+def test_distances_by_products_are_exact():
+    rng = np.random.default_rng(14)
+    bits = np.concatenate([rng.integers(0, 2, (7, 256)), np.repeat([[1, 0]], 128, axis=1)[:, :256], (np.arange(256) < 254)[None], (np.arange(256) < 2)[None]]).astype(np.uint8)
+    mine, own = np.packbits(bits, axis=1), np.packbits(np.concatenate([bits, rng.integers(0, 2, (14, 256), dtype=np.uint8)]), axis=1)
+    other = np.ascontiguousarray(own.reshape(4, 6, 32).view(np.uint64).transpose(2, 1, 0))  # 4 images of 6 corners
+    packed, add = I._packed(mine, 4)
+    far = (packed @ I._planes(other)).astype(np.int64) + add[:, None]
+    far = np.stack([far >> 8 * k & 255 for k in range(3)], axis=1).reshape(12, 6, 4)
+    true = np.bitwise_count(mine[:, None] ^ own[None]).sum(axis=2, dtype=np.int64).reshape(len(mine), 4, 6).transpose(0, 2, 1)
+    assert (far[: len(mine)] == true).all() and (far[len(mine) :] == 255).all()
